@@ -105,9 +105,12 @@ def powers(base: int, n: int, _kept: dict[int, np.ndarray] = {}) -> np.ndarray:
     return have[:n]
 
 
-def joined(texts: list[str]) -> tuple[bytes, np.ndarray]:
-    """The texts in UTF-8, each followed by a line feed, and where each begins (one more entry: the end)."""
-    parts = [t.encode() for t in texts]
+def utf8(texts: pa.Array) -> list[bytes]:
+    return texts.cast(pa.binary()).to_pylist()
+
+
+def joined(parts: list[bytes]) -> tuple[bytes, np.ndarray]:
+    """The texts (UTF-8), each followed by a line feed, and where each begins (one more entry: the end)."""
     at = np.zeros(len(parts) + 1, np.int64)
     np.cumsum([len(p) + 1 for p in parts], out=at[1:])
     return b"\n".join(parts) + b"\n" * bool(parts), at
