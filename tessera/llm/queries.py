@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, minhash, slots, substring, toxicity
+from . import bpe, decontam, minhash, slots, substring, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,23 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
+#: Records with equal payloads of 1000 bytes and more refer to the one with the largest page_id.
+OP1 = """
+with p as (select page_id, coalesce(html, '') as payload from pages),
+d as (select page_id, cast(octet_length(encode(payload)) as bigint) as payload_bytes, sha1(payload) as payload_digest from p),
+m as (select *, max(page_id) over (partition by payload_digest) as last from d)
+select page_id, payload_bytes, payload_digest,
+       case when payload_bytes >= 1000 and page_id <> last then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 1000 and page_id <> last then last end as refers_to
+from m
+"""
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(_table(spark, sf_dir, "pages"))
+    return warc.read(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
@@ -47,8 +64,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_toxicity": op4_toxicity, "op5_substring_dedup": op5_substring_dedup, "op7_benchmark_decontamination": op7_benchmark_decontamination, "op8_byte_bpe": op8_byte_bpe, "op9_minhash_near_dedup": op9_minhash_near_dedup, "op10_sharding": op10_sharding}
+    return {"op1_warc": op1_warc, "op4_toxicity": op4_toxicity, "op5_substring_dedup": op5_substring_dedup, "op7_benchmark_decontamination": op7_benchmark_decontamination, "op8_byte_bpe": op8_byte_bpe, "op9_minhash_near_dedup": op9_minhash_near_dedup, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc": OP1}
