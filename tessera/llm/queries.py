@@ -8,13 +8,32 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, minhash, slots, substring, token_codes, toxicity, warc
+from . import bpe, decontam, kdtree, minhash, slots, substring, token_codes, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: All inner products of the stated queries.
+OP6 = """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as e
+           from embeddings
+           where embedding is not null and len(embedding) > 0
+             and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as (select q.vec_id as query_id, c.vec_id,
+             cast(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) as bigint) as score
+      from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 100 = 0),
+r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from p)
+select query_id, rank, vec_id, score from r where rank <= 10
+"""
+
+
+def op6_kdtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = kdtree.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "n_windows", "n_slots", "n_changed")
@@ -70,8 +89,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op2_token_codes": op2_token_codes, "op4_toxicity": op4_toxicity, "op5_substring_dedup": op5_substring_dedup, "op7_benchmark_decontamination": op7_benchmark_decontamination, "op8_byte_bpe": op8_byte_bpe, "op9_minhash_near_dedup": op9_minhash_near_dedup, "op10_sharding": op10_sharding}
+    return {"op1_warc": op1_warc, "op2_token_codes": op2_token_codes, "op4_toxicity": op4_toxicity, "op5_substring_dedup": op5_substring_dedup, "op6_kdtree_top_k": op6_kdtree_top_k, "op7_benchmark_decontamination": op7_benchmark_decontamination, "op8_byte_bpe": op8_byte_bpe, "op9_minhash_near_dedup": op9_minhash_near_dedup, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1}
+    return {"op1_warc": OP1, "op6_kdtree_top_k": OP6}
