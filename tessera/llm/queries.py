@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, kdtree, minhash, slots, substring, token_codes, toxicity, warc
+from . import bpe, decontam, kdtree, minhash, quality, slots, substring, token_codes, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,11 @@ def op2_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codes.read(files).withColumnRenamed("key", "doc_id")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.grade(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
@@ -89,7 +94,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op2_token_codes": op2_token_codes, "op4_toxicity": op4_toxicity, "op5_substring_dedup": op5_substring_dedup, "op6_kdtree_top_k": op6_kdtree_top_k, "op7_benchmark_decontamination": op7_benchmark_decontamination, "op8_byte_bpe": op8_byte_bpe, "op9_minhash_near_dedup": op9_minhash_near_dedup, "op10_sharding": op10_sharding}
+    return {"op1_warc": op1_warc, "op2_token_codes": op2_token_codes, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op5_substring_dedup": op5_substring_dedup, "op6_kdtree_top_k": op6_kdtree_top_k, "op7_benchmark_decontamination": op7_benchmark_decontamination, "op8_byte_bpe": op8_byte_bpe, "op9_minhash_near_dedup": op9_minhash_near_dedup, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
