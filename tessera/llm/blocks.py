@@ -11,9 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import shared_dir, text_or_empty
 
@@ -28,7 +30,7 @@ def stage_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
     A block's number is the partition that wrote it and a counter; it is fixed once the table is written.
     """
     spark = docs.sparkSession
-    kind = docs.schema[key].dataType.simpleString()
+    kind = docs.schema[key].dataType
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 20
@@ -44,7 +46,8 @@ def stage_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
                 block, start = block + 1, end
 
     rows = docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text"))
-    cuts = rows.mapInArrow(cut, f"block bigint, keys array<{kind}>, texts array<string>")
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("keys", T.ArrayType(kind)), T.StructField("texts", T.ArrayType(T.StringType()))])
+    cuts = rows.mapInArrow(cut, schema)
     name, path = f"tessera_blocks_{uuid.uuid4().hex}", shared_dir(spark, "blocks")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts.write.option("path", path).option("compression", "zstd").bucketBy(buckets, "block").saveAsTable(name)
@@ -56,15 +59,19 @@ def uids(block: int, n: int) -> np.ndarray:
     return (np.int64(block) << _IDX_BITS) + np.arange(n, dtype=np.int64)
 
 
-def fetch(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
-    """uid, text of the rows whose `uid` is in `wanted` (distinct). Only those texts leave their block."""
+def fetch(blocks: DataFrame, wanted: DataFrame, with_keys: bool = False) -> DataFrame:
+    """uid, text (and key) of the rows whose `uid` is in `wanted` (distinct). Only those rows leave their block."""
     lists = wanted.groupBy(F.shiftright("uid", _IDX_BITS).alias("block")).agg(F.collect_list("uid").alias("uids"))
+    columns = ["texts", "keys"] if with_keys else ["texts"]
+    fields = [T.StructField("uid", T.LongType()), T.StructField("text", T.StringType())]
+    if with_keys:
+        fields.append(T.StructField("key", blocks.schema["keys"].dataType.elementType))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids = batch.column(1)[i].values
+                ids = batch.column(0)[i].values
                 at = pa.compute.bit_wise_and(ids, (1 << _IDX_BITS) - 1)
-                yield pa.RecordBatch.from_arrays([ids, batch.column(0)[i].values.take(at)], names=["uid", "text"])
+                yield pa.RecordBatch.from_arrays([ids, *(c[i].values.take(at) for c in batch.columns[1:])], names=[f.name for f in fields])
 
-    return blocks.join(lists, "block").select("texts", "uids").mapInArrow(take, "uid bigint, text string")
+    return blocks.join(lists, "block").select("uids", *columns).mapInArrow(take, T.StructType(fields))

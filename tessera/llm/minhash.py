@@ -11,8 +11,9 @@
 
 A posting of g nodes is not expanded into g^2 pairs. First each node of a posting is compared with one of them (the same
 one in most postings that they share). Where all nodes of a posting are then connected, nothing in it can change the
-components. In the other postings, nodes outside the largest component are compared with all nodes of other components,
-in blocks of bounded size. So no link is lost that could join two components.
+components. Nodes that the other postings chain together are a family; in it, nodes outside the largest component are
+compared with all nodes on full sets, in blocks of bounded size, which give only the links that join components. So no
+link is lost that could join two components.
 """
 
 from __future__ import annotations
@@ -25,14 +26,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .blocks import fetch, stage_blocks, uids
 from .common import joined, mix64, shingle_set, stage, utf8, word_hashes, words_of
 from .graph import connected_components
 
 POSTED, COORDINATES = 32, 128
-#: Nodes on each side of a block of comparisons.
-SIDE = 2048
+#: Nodes, and their shingles, on each side of a block of comparisons.
+SIDE, WEIGHT = 2048, 2_000_000
 #: Chance that a pair at the threshold is lost by a count of collisions.
 MISS = 1e-9
 
@@ -67,7 +69,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def _signatures(blocks: DataFrame, width: int, kind: str) -> DataFrame:
+def _signatures(blocks: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
@@ -82,7 +84,9 @@ def _signatures(blocks: DataFrame, width: int, kind: str) -> DataFrame:
                     names=["uid", "key", "n_shingles", "h1", "h2", "tokens", "sig"],
                 )
 
-    return blocks.select("block", "keys", "texts").mapInArrow(run, f"uid bigint, key {kind}, n_shingles bigint, h1 bigint, h2 bigint, tokens array<bigint>, sig binary")
+    kind, long = blocks.schema["keys"].dataType.elementType, T.LongType()
+    fields = [("uid", long), ("key", kind), ("n_shingles", long), ("h1", long), ("h2", long), ("tokens", T.ArrayType(long)), ("sig", T.BinaryType())]
+    return blocks.select("block", "keys", "texts").mapInArrow(run, T.StructType([T.StructField(n, t) for n, t in fields]))
 
 
 def _matching(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
@@ -125,45 +129,106 @@ def _confirmed(pairs: DataFrame, blocks: DataFrame, width: int, percent: int) ->
     return with_a.join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
-def _crossing(postings: DataFrame, components: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
-    """Pairs of nodes that share a posting, agree in `least` coordinates and are in different components."""
+def _open_families(postings: DataFrame, hubs: DataFrame, components: DataFrame) -> DataFrame:
+    """family, node, comp: nodes that postings chain together, where a posting holds nodes of several components."""
     placed = stage(postings.join(components, "node", "left").select("token", "node", F.coalesce("component", "node").alias("comp")), "placed")
-    sizes = placed.groupBy("token", "comp").agg(F.count("*").alias("n"))
-    open_ = sizes.groupBy("token").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("big")).where("comps > 1")
-    open_ = stage(open_.select("token", F.col("big.comp").alias("big"), F.ceil(F.col("n") / SIDE).cast("int").alias("m_blocks"), F.ceil((F.col("n") - F.col("big.n")) / SIDE).cast("int").alias("s_blocks")), "open")
-    members = stage(placed.join(open_, "token"), "members").join(nodes.select("node", "sig"), "node")
+    open_ = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    hub = stage(open_.select("token").join(hubs, "token"), "open")
+    chained = stage(placed.join(hub, "token").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "chained")
+    families = connected_components(chained).select("node", F.col("component").alias("family"))
+    return stage(families.join(components, "node", "left").select("family", "node", F.coalesce("component", "node").alias("comp")), "families")
+
+
+def _joined_in(few: list[np.ndarray], rest: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs of a set of `few` and one of `rest` have 100 * intersection >= percent * union."""
+    n, m = len(few), len(rest)
+    sizes = np.array([len(s) for s in [*few, *rest]])
+    elements = np.concatenate([*few, *rest])
+    owner = np.repeat(np.arange(n + m), sizes)
+    order = np.argsort(elements, kind="stable")
+    elements, owner = elements[order], owner[order]
+    new = np.r_[True, elements[1:] != elements[:-1]]
+    column = np.cumsum(new) - 1
+    left = np.bincount(column[owner < n], minlength=column[-1] + 1)
+    right = np.bincount(column[owner >= n], minlength=column[-1] + 1)
+    shared = (left > 0) & (right > 0)
+    number = np.cumsum(shared) - 1
+    keep = shared[column]
+    column, owner = number[column[keep]], owner[keep]
+    both = np.zeros((n, m), np.float32)  # counts below 2^24 are exact
+    step = max(64, (1 << 23) // (n + m))
+    for c in range(0, int(shared.sum()), step):
+        f, e = np.searchsorted(column, [c, c + step])
+        incidence = np.zeros((n + m, min(step, int(shared.sum()) - c)), np.float32)
+        incidence[owner[f:e], column[f:e] - c] = 1
+        both += incidence[:n] @ incidence[n:].T
+    both = both.astype(np.int64)
+    return 100 * both >= percent * (sizes[:n, None] + sizes[None, n:] - both)
+
+
+def _spanning(node: np.ndarray, comp: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
+    """Of links between positions a and b, as many as join the components they are in."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    pairs = np.unique(np.stack([comp[a], comp[b]], axis=1), axis=0, return_index=True)
+    out: tuple[list[int], list[int]] = ([], [])
+    for (x, y), i in zip(pairs[0].tolist(), pairs[1].tolist(), strict=True):
+        x, y = find(x), find(y)
+        if x != y:
+            root[x] = y
+            out[0].append(int(node[a[i]]))
+            out[1].append(int(node[b[i]]))
+    return out
+
+
+def _rest(families: DataFrame, nodes: DataFrame, blocks: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) that join what is still apart in each family.
+
+    Nodes outside a family's largest component are compared with all its nodes, in blocks whose number of nodes and of
+    shingles is bounded, on full sets. A block gives no more links than join its components.
+    """
+    sized = families.join(nodes.select("node", "n_shingles"), "node")
+    sizes = sized.groupBy("family", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+    whole = sizes.groupBy("family").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.max(F.struct("n", "w", "comp")).alias("big")).where("comps > 1")
+    cut = lambda n, w: F.greatest(F.ceil(n / SIDE), F.ceil(w / WEIGHT)).cast("int")
+    open_ = stage(whole.select("family", F.col("big.comp").alias("big"), cut(F.col("n"), F.col("w")).alias("m_blocks"), cut(F.col("n") - F.col("big.n"), F.col("w") - F.col("big.w")).alias("s_blocks")), "open")
+    members = stage(families.join(open_, "family"), "members")
+    texts = fetch(blocks, members.select(F.col("node").alias("uid"))).withColumnRenamed("uid", "node")
+    full = members.join(texts, "node")
     place = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
-    spread = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    small = members.where("comp <> big").select("token", place("s_blocks").alias("s"), spread("m_blocks").alias("m"), "node", "comp", "sig", F.lit(True).alias("small"))
-    every = members.select("token", spread("s_blocks").alias("s"), place("m_blocks").alias("m"), "node", "comp", "sig", F.lit(False).alias("small"))
-
-    def compare(sn: np.ndarray, sc: np.ndarray, ss: np.ndarray, n: np.ndarray, c: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a, b = [], []
-        for i in range(0, len(sn), 256):
-            count = np.zeros((len(sn[i : i + 256]), len(n)), np.uint8)
-            for k in range(COORDINATES):
-                count += ss[i : i + 256, k, None] == s[None, :, k]
-            x, y = np.nonzero((count >= least) & (sc[i : i + 256, None] != c[None, :]))
-            a.append(sn[i : i + 256][x])
-            b.append(n[y])
-        return np.concatenate(a), np.concatenate(b)
+    # One row for each block that a node is in; a node outside the largest component may be on both sides of one.
+    s, m, small = place("s_blocks"), place("m_blocks"), F.col("comp") != F.col("big")
+    spots = F.transform(F.sequence(F.lit(0), F.col("s_blocks") - 1), lambda k: F.struct(k.alias("s"), m.alias("m"), (small & (s == k)).alias("small"), F.lit(True).alias("every")))
+    more = F.transform(F.filter(F.sequence(F.lit(0), F.col("m_blocks") - 1), lambda k: small & (k != m)), lambda k: F.struct(s.alias("s"), k.alias("m"), F.lit(True).alias("small"), F.lit(False).alias("every")))
+    rows = full.select("family", "node", "comp", "text", F.explode(F.concat(spots, more)).alias("spot")).select("family", "spot.s", "spot.m", "node", "comp", "text", "spot.small", "spot.every")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def of(group: pa.Table) -> Iterator[pa.RecordBatch]:
-            ids = [group.column(k).to_numpy() for k in (0, 1, 2)]
+            ids = [group.column(k).to_numpy() for k in range(3)]
             edge = np.flatnonzero(np.r_[True, (ids[0][1:] != ids[0][:-1]) | (ids[1][1:] != ids[1][:-1]) | (ids[2][1:] != ids[2][:-1])])
-            node, comp, small = (group.column(k).to_numpy() for k in (3, 4, 6))
-            sig = np.frombuffer(b"".join(group.column(5).to_pylist()), "<u2").reshape(-1, COORDINATES)
+            node, comp, small, every = (group.column(k).to_numpy() for k in (3, 4, 6, 7))
+            texts = utf8(group.column(5).combine_chunks())
             for f, e in zip(edge.tolist(), [*edge[1:].tolist(), len(node)], strict=True):
-                few, rest = f + np.flatnonzero(small[f:e]), f + np.flatnonzero(~small[f:e])
-                if len(few) and len(rest):
-                    a, b = compare(node[few], comp[few], sig[few], node[rest], comp[rest], sig[rest])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+                few, all_ = f + np.flatnonzero(small[f:e]), f + np.flatnonzero(every[f:e])
+                if not len(few) or not len(all_):
+                    continue
+                sets = _sets(texts[f:e], width)
+                for i in range(0, len(few), 512):
+                    part = few[i : i + 512]
+                    link = _joined_in([sets[k - f] for k in part], [sets[k - f] for k in all_], percent)
+                    x, y = np.nonzero(link & (comp[part][:, None] != comp[all_][None, :]))
+                    a, b = _spanning(node, comp, part[x], all_[y])
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         held: list[pa.RecordBatch] = []
-        for batch in batches:  # a group may go on in the next batch
+        for batch in batches:  # a block may go on in the next batch
             table = pa.Table.from_batches([*held, batch])
-            ids = [table.column(k).to_numpy() for k in (0, 1, 2)]
+            ids = [table.column(k).to_numpy() for k in range(3)]
             other = np.flatnonzero((ids[0] != ids[0][-1]) | (ids[1] != ids[1][-1]) | (ids[2] != ids[2][-1])) if len(ids[0]) else []
             cut = int(other[-1]) + 1 if len(other) else 0
             if cut:
@@ -172,8 +237,8 @@ def _crossing(postings: DataFrame, components: DataFrame, nodes: DataFrame, leas
         if held:
             yield from of(pa.Table.from_batches(held))
 
-    dealt = small.unionByName(every).repartition(F.col("token"), F.col("s"), F.col("m")).sortWithinPartitions("token", "s", "m")
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+    dealt = rows.repartition(F.col("family"), F.col("s"), F.col("m")).sortWithinPartitions("family", "s", "m")
+    return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -186,11 +251,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     component; so do rows of one key, if their texts are linked, and each of them is then kept. A null key counts as
     larger than all others. Columns other than `key` and `text` are not read. An empty table gives an empty result.
     """
-    kind = docs.schema[key].dataType.simpleString()
-    blocks = stage_blocks(docs, key, text)
-    rows = stage(_signatures(blocks, width, kind), "signatures")
+    return _grouped(stage_blocks(docs, key, text), width, percent).withColumnRenamed("key", key)
+
+
+def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs`, all their columns, of which one of each group of near-duplicates stays; see `near_duplicates`.
+
+    The one with the smallest key stays; of equal keys, and of null keys where a group has no other, any one.
+    """
+    others = [c for c in docs.columns if c != text]
+    blocks = stage_blocks(docs.select(F.struct(*(F.col(c) for c in others)).alias("row"), text), "row", text)
+    found = _grouped(blocks.withColumn("keys", F.transform("keys", lambda row: row[key])), width, percent)
+    one = found.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "uid")).alias("first"))
+    kept = fetch(blocks, one.select("first.uid"), with_keys=True)
+    return kept.select(*(F.col("text").alias(c) if c == text else F.col("key")[c].alias(c) for c in docs.columns))
+
+
+def _grouped(blocks: DataFrame, width: int, percent: int) -> DataFrame:
+    """key, uid, n_shingles, component_id, kept, root (a number of the component) of each row of `blocks`."""
+    rows = stage(_signatures(blocks, width), "signatures")
     groups = stage(rows.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("uid").alias("node"), F.min("key").alias("least_key")), "groups")
-    nodes = stage(rows.select(F.col("uid").alias("node"), "tokens", "sig").join(groups.select("node"), "node"), "nodes")
+    nodes = stage(rows.select(F.col("uid").alias("node"), "n_shingles", "tokens", "sig").join(groups.select("node"), "node"), "nodes")
 
     least = least_matches(POSTED, percent / 100)
     match = least_matches(COORDINATES, percent / 100)
@@ -208,8 +289,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     links = stage(_confirmed(pairs, blocks, width, percent), "links")
     found = stage(connected_components(links), "components")
 
-    crossing = stage(_crossing(postings, found, nodes, match), "crossing")
-    more = stage(_confirmed(crossing, blocks, width, percent), "links")
+    families = _open_families(postings, hubs, found)
+    more = stage(_rest(families, nodes, blocks, width, percent), "links")
     if not more.isEmpty():
         found = stage(connected_components(more.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))), "components")
 
@@ -218,4 +299,4 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     named = stage(placed.join(ids, "root").select("h1", "h2", "root", "component_id"), "named")
     out = rows.join(named, ["h1", "h2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("key"))
-    return out.select(F.col("key").alias(key), "uid", "n_shingles", component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"), F.coalesce("root", "uid").alias("root"))
+    return out.select("key", "uid", "n_shingles", component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"), F.coalesce("root", "uid").alias("root"))

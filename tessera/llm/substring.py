@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .blocks import stage_blocks
 from .common import joined, mix64, run_hashes, stage, utf8, word_hashes, words_of
@@ -141,12 +142,12 @@ def _mark(posts: DataFrame, wide: bool) -> DataFrame:
     return marks.groupBy("block").agg(F.collect_list(F.struct("bucket", "mask")).alias("masks"))
 
 
-def remove_repeats(docs: DataFrame, window: int = 35, key: str = "doc_id", text: str = "text", period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 35, key: str = "doc_id", text: str = "text", period: int = PERIOD, cover: tuple[int, ...] = COVER, untouched: bool = False) -> DataFrame:
     """`key`, n_words, n_removed and kept (string) of each row of `docs`.
 
     Words are runs of bytes other than 0x20 and 0x09-0x0D. Each word goes that a window covers whose word sequence
     also starts anywhere else, in the same text or another; windows are judged on the input. Kept words are joined by
-    one space. A null or empty text has no words and gives an empty string; so does a text whose words all go. Rows are
+    one space; with `untouched`, texts that lose nothing come back as they were. A null or empty text has no words and gives an empty string; so does a text whose words all go. Rows are
     told apart by where they were staged, so repeated and null keys are rows of their own, and two equal rows of at
     least `window` words remove each other. Columns other than `key` and `text` are not read. An empty table gives an
     empty result.
@@ -157,7 +158,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, key: str = "doc_id", text:
         raise ValueError("period must not exceed window")
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kind = docs.schema[key].dataType.simpleString()
+    kind = docs.schema[key].dataType
     blocks = stage_blocks(docs, key, text)
 
     def posts(hashes: Callable[[pa.RecordBatch, int], _Post]) -> Callable:
@@ -194,12 +195,30 @@ def remove_repeats(docs: DataFrame, window: int = 35, key: str = "doc_id", text:
                 stay, counts = ~gone, np.zeros(len(gone) + 1, np.int64)
                 np.cumsum(gone, out=counts[1:])
                 all_words, kept = b.data.split(), []
-                for f, e in zip(b.first[:-1].tolist(), b.first[1:].tolist(), strict=True):
-                    kept.append(b" ".join(compress(all_words[f:e], stay[f:e].tolist()) if counts[e] > counts[f] else all_words[f:e]))
+                for f, e, whole in zip(b.first[:-1].tolist(), b.first[1:].tolist(), utf8(texts.values), strict=True):
+                    if counts[e] > counts[f]:
+                        kept.append(b" ".join(compress(all_words[f:e], stay[f:e].tolist())))
+                    else:
+                        kept.append(whole if untouched else b" ".join(all_words[f:e]))
                 yield pa.RecordBatch.from_arrays([keys.values, pa.array(np.diff(b.first), pa.int64()), pa.array(np.diff(counts[b.first]), pa.int64()), pa.array(kept, pa.string())], names=["key", "n_words", "n_removed", "kept"])
 
     judged = blocks.join(near.withColumnRenamed("masks", "near"), "block", "left").join(equal.withColumnRenamed("masks", "equal"), "block", "left")
-    return judged.select("keys", "texts", "near", "equal").mapInArrow(cut, f"key {kind}, n_words bigint, n_removed bigint, kept string").withColumnRenamed("key", key)
+    return judged.select("keys", "texts", "near", "equal").mapInArrow(cut, T.StructType([T.StructField("key", kind), *(T.StructField(n, T.LongType()) for n in ("n_words", "n_removed")), T.StructField("kept", T.StringType())])).withColumnRenamed("key", key)
+
+
+def without_repeats(docs: DataFrame, window: int = 35, text: str = "text", chars: str | None = None) -> DataFrame:
+    """The rows of `docs`, all their columns, without repeated word runs in `text`; see `remove_repeats`.
+
+    Rows go that had words and lose all of them. Texts that lose nothing stay as they are, null becomes empty. `chars`
+    names a column that has the text's length in characters; it follows the text.
+    """
+    others = [c for c in docs.columns if c != text]
+    packed = docs.select(F.struct(*(F.col(c) for c in others)).alias("row"), text)
+    done = remove_repeats(packed, window, "row", text, untouched=True).where("n_words = 0 or n_removed < n_words")
+    columns = {c: F.col("row")[c] for c in others} | {text: F.col("kept")}
+    if chars is not None:
+        columns[chars] = F.when(F.col("n_removed") > 0, F.char_length("kept").cast(docs.schema[chars].dataType)).otherwise(columns[chars])
+    return done.select(*(columns[c].alias(c) for c in docs.columns))
 
 
 def digests(removed: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -28,6 +28,7 @@ def edited(rng, words, n):
 def test_families(spark, monkeypatch, side):
     """Families around the threshold, in which many pairs are linked only through others."""
     monkeypatch.setattr(minhash, "SIDE", side)
+    monkeypatch.setattr(minhash, "WEIGHT", side * 300)
     rng = random.Random(3)
     rows = []
     for family in range(8):
