@@ -14,9 +14,12 @@ from __future__ import annotations
 
 import json
 import os
+import string
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,7 @@ FILE_IDS = 4_000_000
 STRIDE = 512
 #: Kept words in a worker; beyond it the table starts anew. It bounds memory, not results.
 CACHE = 600_000
+PUNCTUATION = string.punctuation
 
 
 def pack(keys: list[int | None], documents: list[np.ndarray]) -> bytes:
@@ -112,63 +116,98 @@ class Codes:
 class WordEncoder:
     """Encodes with a tokenizers file whose words end at white space, keeping the ids of words it has seen.
 
-    Words of letters, and such words with one mark of punctuation after them, are one and two pre-tokens; new ones are
-    encoded together, and told apart by the pieces that end a word. All else goes through the library as a whole.
+    Words of letters, and such words with ASCII punctuation after them, are one and two pre-tokens; new ones are encoded
+    together, and told apart by the pieces that end a word. All else goes through the library as a whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # For lower-case ASCII letters the file's normaliser and byte mapping change nothing, and words end at spaces.
+        self.ascii = Tokenizer.from_file(path)
+        self.ascii.normalizer, self.ascii.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _letters(self, words: list[str]) -> list[bytes]:
+    def _together(self, tokenizer, words: list[str]) -> list[bytes]:
+        parts = [words[at : at + 256] for at in range(0, len(words), 256)]
         out: list[bytes] = []
-        for at in range(0, len(words), 256):
-            part = words[at : at + 256]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+        for part, found in zip(parts, tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
             edge = np.flatnonzero(self.ends[ids]) + 1
             if len(edge) == len(part) and edge[-1] == len(ids):
                 data = ids.tobytes()
-                out += [data[4 * a : 4 * b] for a, b in zip([0, *edge[:-1].tolist()], edge.tolist(), strict=True)]
-            else:
+                at = (4 * edge).tolist()
+                out += [data[a:b] for a, b in zip([0, *at], at, strict=False)]
+            else:  # a letter to the library's pattern need not be one to Python
                 out += map(self._whole, part)
         return out
 
     def _learn(self, words: list[str]) -> None:
-        plain, marked, odd = [], [], []
-        for w in words:
-            (plain if w.isalpha() else marked if w[:-1].isalpha() and w[-1] in ".,;:!?" else odd).append(w)
-        self.cache.update(zip(plain, self._letters(plain), strict=True))
-        for mark in {w[-1] for w in marked}:
-            mine, end = [w for w in marked if w[-1] == mark], self._whole(mark)
-            self.cache.update((w, ids + end) for w, ids in zip(mine, self._letters([w[:-1] for w in mine]), strict=True))
-        self.cache.update((w, self._whole(w)) for w in odd)
+        plain = [w for w in words if w.isalpha()]
+        rest = [(w, stem) for w in words if not w.isalpha() for stem in [w.rstrip(PUNCTUATION)]]
+        marked = [(w, stem) for w, stem in rest if len(stem) < len(w) and stem.isalpha()]
+        known = self.cache
+        for tokenizer, fits in ((self.ascii, True), (self.tokenizer, False)):
+            mine = [w for w in plain if w.isascii() is fits]
+            known.update(zip(mine, self._together(tokenizer, [w.lower() for w in mine] if fits else mine), strict=True))
+            pairs = [(w, stem) for w, stem in marked if stem.isascii() is fits]
+            ends = {end: self._whole(end) for end in {w[len(stem) :] for w, stem in pairs}}
+            stems = self._together(tokenizer, [stem.lower() for _, stem in pairs] if fits else [stem for _, stem in pairs])
+            known.update((w, ids + ends[w[len(stem) :]]) for (w, stem), ids in zip(pairs, stems, strict=True))
+        known.update((w, self._whole(w)) for w, _ in rest if w not in known)
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """The ids of each word. When the table is full, what was used since it last was is kept for another round."""
+        found = list(map(self.cache.get, words))
+        if None in found:
+            missing = [i for i, f in enumerate(found) if f is None]
+            new = {words[i] for i in missing}
+            if len(self.cache) + len(new) > CACHE // 2:
+                self.older, self.cache = self.cache, {}
+            elif self.older:
+                again = {w: self.older[w] for w in new if w in self.older}
+                self.cache |= again
+                new.difference_update(again)
+            self._learn(list(new))
+            for i in missing:
+                found[i] = self.cache[words[i]]
+        return found
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """For each text its ids as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = []
+        for i in range(0, len(texts), 128):
+            part = texts[i : i + 128]
+            # Special strings, and what only Python calls white space, are left to the library.
+            whole = ["<|" in t or any(c in t for c in "\x1c\x1d\x1e\x1f") for t in part]
+            lists = [[] if w else t.split() for t, w in zip(part, whole, strict=True)]
+            found = self._ids(list(chain.from_iterable(lists)))
+            at = 0
+            for t, w, x in zip(part, whole, lists, strict=True):
+                out.append(self._whole(t) if w else b"".join(found[at : at + len(x)]))
+                at += len(x)
+        return out
 
     def __call__(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):  # special strings, and what only Python calls white space
-            return self._whole(text)
-        words = text.split()
-        try:
-            return b"".join(map(self.cache.__getitem__, words))
-        except KeyError:
-            new = list({w for w in words if w not in self.cache})
-            if len(self.cache) + len(new) > CACHE:
-                self.cache.clear()
-                new = list(set(words))
-            self._learn(new)
-            return b"".join(map(self.cache.__getitem__, words))
-
-
-def write(docs: DataFrame, encoder: Callable[[], Callable[[str], bytes]], end_id: int, folder: str | None = None, key: str = "doc_id", text: str = "text", file_ids: int = FILE_IDS) -> DataFrame:
+        return self.many([text])[0]
+
+
+@lru_cache(maxsize=2)
+def word_encoder(path: str) -> WordEncoder:
+    """One for each worker process, which keeps it from task to task."""
+    return WordEncoder(path)
+
+
+def write(docs: DataFrame, encoder: Callable[[], Callable[[list[str]], list[bytes]]], end_id: int, folder: str | None = None, key: str = "doc_id", text: str = "text", file_ids: int = FILE_IDS) -> DataFrame:
     """Write the ids of each text, `end_id` after each, in ascending order of `key`; returns the staged manifest.
 
     Columns: name, folder, documents, ids, base (ids in all files before), bytes. A null text counts as empty, so it
@@ -201,13 +240,15 @@ def write(docs: DataFrame, encoder: Callable[[], Callable[[str], bytes]], end_id
 
         held = 0
         for batch in batches:
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                keys.append(k)
-                ids.append(np.frombuffer(encode(t.as_py()) + end, "<u4"))
-                held += len(ids[-1])
-                if held >= file_ids:
-                    close()
-                    held = 0
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                for k, x in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
+                    keys.append(k)
+                    ids.append(np.frombuffer(x + end, "<u4"))
+                    held += len(ids[-1])
+                    if held >= file_ids:
+                        close()
+                        held = 0
         if keys:
             close()
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
