@@ -63,7 +63,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
-    files = token_codes.write(_table(spark, sf_dir, "documents"), lambda: token_codes.word_encoder(vocabulary).many, end_id=1)
+    files = token_codes.write(_table(spark, sf_dir, "documents"), lambda: token_codes.word_encoder(vocabulary).arrays, end_id=1)
     return token_codes.read(files).withColumnRenamed("key", "doc_id")
 
 

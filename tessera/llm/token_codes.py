@@ -19,10 +19,11 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ FILE_IDS = 4_000_000
 #: Bits between entries of a directory.
 STRIDE = 512
 #: Kept words in a worker; beyond it the table starts anew. It bounds memory, not results.
-CACHE = 600_000
+CACHE = 1_200_000
 PUNCTUATION = string.punctuation
 
 
@@ -166,39 +167,44 @@ class WordEncoder:
         known.update((w, self._whole(w)) for w, _ in rest if w not in known)
 
     def _ids(self, words: list[str]) -> list[bytes]:
-        """The ids of each word. When the table is full, what was used since it last was is kept for another round."""
+        """The ids of each of some distinct words. When the table is full, what was used since it last was is kept."""
         found = list(map(self.cache.get, words))
         if None in found:
             missing = [i for i, f in enumerate(found) if f is None]
-            new = {words[i] for i in missing}
-            if len(self.cache) + len(new) > CACHE // 2:
+            if len(self.cache) + len(missing) > CACHE // 2:
                 self.older, self.cache = self.cache, {}
-            elif self.older:
-                again = {w: self.older[w] for w in new if w in self.older}
+            if self.older:
+                again = {words[i]: self.older[words[i]] for i in missing if words[i] in self.older}
                 self.cache |= again
-                new.difference_update(again)
-            self._learn(list(new))
+                self._learn([words[i] for i in missing if words[i] not in again])
+            else:
+                self._learn([words[i] for i in missing])
             for i in missing:
                 found[i] = self.cache[words[i]]
         return found
 
-    def many(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        for i in range(0, len(texts), 128):
-            part = texts[i : i + 128]
-            # Special strings, and what only Python calls white space, are left to the library.
-            whole = ["<|" in t or any(c in t for c in "\x1c\x1d\x1e\x1f") for t in part]
-            lists = [[] if w else t.split() for t, w in zip(part, whole, strict=True)]
-            found = self._ids(list(chain.from_iterable(lists)))
-            at = 0
-            for t, w, x in zip(part, whole, lists, strict=True):
-                out.append(self._whole(t) if w else b"".join(found[at : at + len(x)]))
-                at += len(x)
-        return out
+    def arrays(self, texts: pa.Array, step: int = 1024) -> Iterator[np.ndarray]:
+        """For each text its ids. Words are told apart and counted off in Arrow; the table sees each of a step's once.
+
+        Splitting at ASCII white space is safe: no pre-token, and no special string, spans it.
+        """
+        for at in range(0, len(texts), step):
+            lists = pc.ascii_split_whitespace(texts.slice(at, step).cast(pa.large_string()))
+            coded = lists.flatten().dictionary_encode()
+            known = self._ids(coded.dictionary.to_pylist())
+            sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+            table = np.frombuffer(b"".join(known), "<u4")
+            starts = np.cumsum(sizes) - sizes
+            words = coded.indices.to_numpy()
+            lengths = sizes[words]
+            ends = np.cumsum(lengths)
+            flat = table[np.repeat(starts[words] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+            edges = np.r_[0, ends][np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())]].tolist()
+            for x, y in pairwise(edges):
+                yield flat[x:y]
 
     def __call__(self, text: str) -> bytes:
-        return self.many([text])[0]
+        return next(self.arrays(pa.array([text]))).tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -207,7 +213,7 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def write(docs: DataFrame, encoder: Callable[[], Callable[[list[str]], list[bytes]]], end_id: int, folder: str | None = None, key: str = "doc_id", text: str = "text", file_ids: int = FILE_IDS) -> DataFrame:
+def write(docs: DataFrame, encoder: Callable[[], Callable[[pa.Array], Iterator[np.ndarray]]], end_id: int, folder: str | None = None, key: str = "doc_id", text: str = "text", file_ids: int = FILE_IDS) -> DataFrame:
     """Write the ids of each text, `end_id` after each, in ascending order of `key`; returns the staged manifest.
 
     Columns: name, folder, documents, ids, base (ids in all files before), bytes. A null text counts as empty, so it
@@ -219,7 +225,7 @@ def write(docs: DataFrame, encoder: Callable[[], Callable[[list[str]], list[byte
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("long").alias("key"), text_or_empty(text).alias("text"))
     rows = rows.repartitionByRange(parts, F.asc_nulls_first("key")).sortWithinPartitions(F.asc_nulls_first("key"), "text")
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.uint32(end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = file_system(folder)
@@ -240,15 +246,13 @@ def write(docs: DataFrame, encoder: Callable[[], Callable[[list[str]], list[byte
 
         held = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for k, x in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
-                    keys.append(k)
-                    ids.append(np.frombuffer(x + end, "<u4"))
-                    held += len(ids[-1])
-                    if held >= file_ids:
-                        close()
-                        held = 0
+            for k, x in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
+                keys.append(k)
+                ids.append(np.append(x, end))
+                held += len(ids[-1])
+                if held >= file_ids:
+                    close()
+                    held = 0
         if keys:
             close()
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
@@ -272,7 +276,10 @@ def read(manifest: DataFrame) -> DataFrame:
                 system, base = file_system(folder)
                 with system.open_input_stream(f"{base}/{name}") as f:
                     codes = Codes(f.read())
-                sums = [zlib.crc32(codes.document(k).tobytes()) for k in range(codes.n_documents)]
+                data, edges = memoryview(codes.ids(0, codes.n_ids).tobytes()), (4 * codes.starts).tolist()
+                sums = [zlib.crc32(data[a:b]) for a, b in pairwise(edges)]
                 yield pa.RecordBatch.from_arrays([pa.array(codes.keys, mask=codes.null.astype(bool)), pa.array(codes.starts[:-1] + before), pa.array(np.diff(codes.starts)), pa.array(sums, pa.int64())], names=["key", "start", "n_tokens", "ids_crc32"])
 
-    return manifest.select("name", "folder", "base").repartition(F.col("name")).mapInArrow(run, "key bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    # The number is given, as what the small rows stand for is large.
+    tasks = min(10_000, max(1, manifest.count()))
+    return manifest.select("name", "folder", "base").repartition(tasks, F.col("name")).mapInArrow(run, "key bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

@@ -216,5 +216,6 @@ def read(manifest: DataFrame, payloads: bool = True) -> DataFrame:
                             rows, held = [], 0
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
 
-    spread = manifest.select("name", "folder").repartition(F.col("name"))
+    # The number is given, as what the small rows stand for is large.
+    spread = manifest.select("name", "folder").repartition(min(10_000, max(1, manifest.count())), F.col("name"))
     return spread.mapInArrow(run, "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload string")
