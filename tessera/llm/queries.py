@@ -79,10 +79,40 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+#: All windows of 35 words, by the digest of their words.
+OP5 = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+s as (select doc_id, words, unnest(range(1, len(words) - 33)) as i from d where len(words) >= 35),
+h as (select doc_id, i, md5(array_to_string(words[i:i + 34], ' ')) as h from s),
+again as (select h from h group by h having count(*) > 1),
+gone as (select distinct doc_id, i + k as pos from (select doc_id, i from h semi join again using (h)), range(35) r(k)),
+w as (select doc_id, unnest(words) as word, generate_subscripts(words, 1) as pos from d),
+k as (select doc_id, string_agg(word, ' ' order by pos) as kept, count(*) as n_kept from w anti join gone using (doc_id, pos) group by doc_id)
+select d.doc_id, cast(len(words) as bigint) as n_words, cast(len(words) - coalesce(n_kept, 0) as bigint) as n_removed,
+       sha256(coalesce(kept, '')) as kept_sha256
+from d left join k using (doc_id)
+"""
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(substring.remove_repeats(_table(spark, sf_dir, "documents")))
 
 
+#: All pairs that share a shingle, and what is reachable over links.
+OP9 = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, case when len(w) < 3 then array_to_string(w, ' ') else array_to_string(w[i:i + 2], ' ') end as shingle
+      from (select doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by all),
+e as (select c.a, c.b from c join n x on x.doc_id = c.a join n y on y.doc_id = c.b where 100 * c.c >= 85 * (x.n + y.n - c.c)),
+r as (select doc_id as a, doc_id as b from documents union select r.a, e.b from r join e on r.b = e.a),
+m as (select a as doc_id, min(b) as component_id from r group by a)
+select m.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, component_id, m.doc_id = component_id as kept
+from m left join n using (doc_id)
+"""
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -98,4 +128,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1, "op6_kdtree_top_k": OP6}
+    return {"op1_warc": OP1, "op5_substring_dedup": OP5, "op6_kdtree_top_k": OP6, "op9_minhash_near_dedup": OP9}
