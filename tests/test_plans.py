@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 
 from tessera.plans import queries as plans
 
 from .oracle import compare, connect
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("PLANS_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")
