@@ -58,7 +58,9 @@ def test_empty_table_and_clashing_columns(spark):
     assert minhash.near_duplicates(df).count() == 0
 
 
-def test_components_of_chains(spark):
+@pytest.mark.parametrize("local", [1_000_000, 0])
+def test_components_of_chains(spark, monkeypatch, local):
+    monkeypatch.setattr(graph, "LOCAL", local)
     rng = random.Random(1)
     ids = list(range(400))
     rng.shuffle(ids)
@@ -66,6 +68,7 @@ def test_components_of_chains(spark):
     got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     want = {**dict.fromkeys(ids[:251], min(ids[:251])), **dict.fromkeys(ids[300:350], min(ids[300:350]))}
     assert got == want
+    assert graph.connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
 def test_least_matches():
