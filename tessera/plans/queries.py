@@ -650,7 +650,7 @@ def vec_arith(t):
     return t.part.select("p_partkey", r["x"].alias("x"), r["y"].alias("y"), vectors.dot(a, b).alias("d"))
 
 
-@query("""select c_custkey, greatest(-100.0, least(100.0, (10.0 - (c_acctbal / 1000 * 0.6 + c_nationkey * 0.8)) * 25.0))::double as force from customer""")
+@query("""select c_custkey, greatest(-100e0, least(100e0, (10e0 - (c_acctbal / 1000e0 * 0.6e0 + c_nationkey * 0.8e0)) * 25e0)) as force from customer""")
 def move_force(t):
     velocity, heading = vectors.vec(F.col("c_acctbal") / 1000, F.col("c_nationkey").cast("double")), vectors.vec(F.lit(0.6), F.lit(0.8))
     return t.customer.select("c_custkey", vectors.clamp((F.lit(10.0) - vectors.dot(velocity, heading)) * F.lit(25.0), -100.0, 100.0).alias("force"))
