@@ -10,7 +10,6 @@ pre-token is mapped and encoded by itself; decoding looks up each id's bytes.
 from __future__ import annotations
 
 import base64
-import hashlib
 import struct
 from collections.abc import Iterator
 

@@ -27,6 +27,8 @@ from .common import stage, text_or_empty
 SAMPLE = 20_000
 #: Entries of a model at most, the toxic texts that must hold one, and the least weight times root of their number.
 ENTRIES, SUPPORT, EVIDENCE = 5_000, 4, 10.0
+#: The least log odds of an entry: twenty times as frequent in toxic texts.
+ODDS = 3.0
 #: Lengths of beginnings of words that are tried as entries.
 STEMS = (4, 5, 6, 7)
 
@@ -131,10 +133,10 @@ class Model:
 def fit(labelled: DataFrame, text: str = "text", label: str = "toxic") -> Model:
     """A model from all given rows with a label of 0 or 1 (a bounded sample: see `train`); other labels do not count.
 
-    Words and beginnings of words are counted in the executors, once for each text. No rows give no entries.
+    Words and beginnings of words are counted in the executors, once for each different text. No rows give no entries.
     """
     rows = labelled.select(text_or_empty(text).alias("text"), F.col(label).cast("int").alias("toxic")).where("toxic in (0, 1)")
-    chosen = stage(rows, "labelled")
+    chosen = stage(rows.dropDuplicates(["text", "toxic"]), "labelled")  # a copy is no further evidence
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
@@ -159,7 +161,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic") -> Model:
     counted = chosen.mapInArrow(terms, "term string, whole boolean, clean bigint, toxic bigint").groupBy("term", "whole").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
     least = max(2, min(SUPPORT, n_toxic // 10))
-    best = counted.where((F.col("toxic") >= least) & (F.col("toxic") >= 4 * F.col("clean") * n_toxic / n_clean)).withColumn("weight", odds)
+    best = counted.where((F.col("toxic") >= least) & (odds >= ODDS)).withColumn("weight", odds)
     # A find by chance has few toxic texts and happens to have no clean ones; evidence grows with the support.
     best = best.where(F.col("weight") * F.sqrt("toxic") >= EVIDENCE).orderBy(F.desc(F.col("weight") * F.sqrt("toxic")), F.desc("whole"), "term").limit(ENTRIES)
     rows = best.select("term", "whole", "weight", "toxic").collect()
