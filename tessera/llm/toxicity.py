@@ -13,6 +13,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import ahocorasick
 import numpy as np
@@ -25,8 +26,8 @@ from .common import stage, text_or_empty
 
 #: Labelled texts that a model is fitted on, chosen by a hash of their key: a documented bound on a classifier's sample.
 SAMPLE = 20_000
-#: Entries of a model at most, the toxic texts that must hold one, and the least weight times root of their number.
-ENTRIES, SUPPORT, EVIDENCE = 5_000, 4, 10.0
+#: Entries of a model at most, the toxic texts that must hold one, and the chance of one entry or more that mean nothing.
+ENTRIES, SUPPORT, CHANCE = 5_000, 4, 0.05
 #: The least log odds of an entry: twenty times as frequent in toxic texts.
 ODDS = 3.0
 #: Lengths of beginnings of words that are tried as entries.
@@ -133,7 +134,9 @@ class Model:
 def fit(labelled: DataFrame, text: str = "text", label: str = "toxic") -> Model:
     """A model from all given rows with a label of 0 or 1 (a bounded sample: see `train`); other labels do not count.
 
-    Words and beginnings of words are counted in the executors, once for each different text. No rows give no entries.
+    Words and beginnings of words are counted in the executors, once for each different text. An entry's surplus in toxic
+    texts must be significant by a likelihood-ratio test among all terms tried, so the rule goes with the sample. No rows
+    give no entries. Without entries, or when no text has a hit, nothing was learnt, and every text scores below 0.5.
     """
     rows = labelled.select(text_or_empty(text).alias("text"), F.col(label).cast("int").alias("toxic")).where("toxic in (0, 1)")
     chosen = stage(rows.dropDuplicates(["text", "toxic"]), "labelled")  # a copy is no further evidence
@@ -154,16 +157,21 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic") -> Model:
                 columns += [pa.array([n * (1 - toxic) for _, n in part], pa.int64()), pa.array([n * toxic for _, n in part], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["term", "whole", "clean", "toxic"])
 
+    nothing = lambda: Model({}, frozenset(), 1.0, -5.0)
     totals = {r.toxic: r.n for r in chosen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_clean, n_toxic = totals.get(0, 0), totals.get(1, 0)
     if not n_toxic or not n_clean:
-        return Model({}, frozenset(), 1.0, -5.0)
+        return nothing()
     counted = chosen.mapInArrow(terms, "term string, whole boolean, clean bigint, toxic bigint").groupBy("term", "whole").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
     least = max(2, min(SUPPORT, n_toxic // 10))
-    best = counted.where((F.col("toxic") >= least) & (odds >= ODDS)).withColumn("weight", odds)
-    # A find by chance has few toxic texts and happens to have no clean ones; evidence grows with the support.
-    best = best.where(F.col("weight") * F.sqrt("toxic") >= EVIDENCE).orderBy(F.desc(F.col("weight") * F.sqrt("toxic")), F.desc("whole"), "term").limit(ENTRIES)
+    tried = stage(counted.where(F.col("toxic") >= least), "terms")
+    n_tried = tried.count()
+    if not n_tried:
+        return nothing()
+    # A find by chance has few toxic texts and happens to have no clean ones; the more terms are tried, the more of them.
+    best = tried.where((odds >= ODDS) & (_evidence(n_clean, n_toxic) >= NormalDist().inv_cdf(CHANCE / n_tried) ** 2)).withColumn("weight", odds)
+    best = best.orderBy(F.desc(F.col("weight") * F.sqrt("toxic")), F.desc("whole"), "term").limit(ENTRIES)
     rows = best.select("term", "whole", "weight", "toxic").collect()
     # A beginning that stands for one word only would catch other words by accident ("path" for "pathetic").
     single = Counter()
@@ -172,10 +180,21 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic") -> Model:
             for k in STEMS:
                 single[r.term[:k]] = max(single[r.term[:k]], r.toxic)
     entries = {(r.term, r.whole): r.weight for r in rows if r.whole or single[r.term] < 0.8 * r.toxic}
+    if not entries:
+        return nothing()
     model = Model(entries, frozenset())
     model.exceptions = _exceptions(chosen, model)
-    model.slope, model.shift = _curve(*_measured(chosen, model))
-    return model
+    x, y = _measured(chosen, model)
+    model.slope, model.shift = _curve(x, y)
+    return model if x.any() and model.shift < 0 else nothing()
+
+
+def _evidence(n_clean: int, n_toxic: int) -> Column:
+    """Twice the log likelihood ratio of a term's toxic and clean texts against one share of both: chi-squared by chance."""
+    n, held = n_clean + n_toxic, F.col("toxic") + F.col("clean")
+    part = lambda k, of, total: F.when(k > 0, k * F.log(k * n / (of * total))).otherwise(0.0)
+    sides = [part(F.col(c), held, total) + part(total - F.col(c), n - held, total) for c, total in (("toxic", n_toxic), ("clean", n_clean))]
+    return 2 * (sides[0] + sides[1])
 
 
 def _exceptions(chosen: DataFrame, model: Model) -> frozenset[tuple[str, str]]:

@@ -60,3 +60,21 @@ def test_edges(spark):
     left = toxicity.without_toxic(docs, m)
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [1, 2, 3]
     assert toxicity.without_toxic(docs.limit(0), m).count() == 0
+
+
+def test_few_labels(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    got = docs.join(labels, "doc_id").where("text is not null").select("text", "toxic", toxicity.score(model, F.col("text")).alias("s")).toPandas()
+    assert (got.s[got.toxic == 0] < 0.5).all() and (got.s[got.toxic == 1] >= 0.5).mean() > 0.5
+    assert {t for t, _ in model.entries} >= {"scum", "moron", "trash", "disgusting"}
+    assert toxicity.without_toxic(docs, model).count() > 0.8 * docs.count()
+
+
+def test_nothing_to_learn(spark):
+    rows = [(f"word{i} other{i}", int(i % 5 == 0)) for i in range(60)]
+    for some in (rows, [(" ", 0), ("?!", 1)], [("fine", 0), ("scum", 1)]):
+        df = spark.createDataFrame(some, "text string, toxic int")
+        model = toxicity.fit(df)
+        assert not model.entries and toxicity.without_toxic(df, model).count() == len(some)
