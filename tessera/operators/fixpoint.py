@@ -127,13 +127,14 @@ class Grammar:
         return None if found is None else (found[0], tree(0, n, start)[0])
 
 
-def parse_sentences(sentences: DataFrame, grammar: Grammar, lexicon: dict[str, dict[str, float]], start: str, key: str = "id", text: str = "text") -> DataFrame:
-    """key, cost, tree of each sentence; both null where it has no parse. Words outside the lexicon have no symbol."""
-    kind = sentences.schema[key].dataType.simpleString()
+def parse_sentences(sentences: DataFrame, grammar: Grammar, lexicon: dict[str, dict[str, float]], start: str, *keys: str, text: str = "text") -> DataFrame:
+    """keys (by default id), cost, tree of each sentence; both null where it has no parse. Words outside the lexicon have no symbol."""
+    keys = keys or ("id",)
+    kinds = ", ".join(f"{k} {sentences.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             found = [grammar.parse([lexicon.get(w, {}) for w in (t or "").split()], start) for t in part[text]]
-            yield pd.DataFrame({key: part[key], "cost": pd.Series([None if f is None else f[0] for f in found], dtype="float64"), "tree": [None if f is None else f[1] for f in found]})
+            yield pd.DataFrame({**{k: part[k] for k in keys}, "cost": pd.Series([None if f is None else f[0] for f in found], dtype="float64"), "tree": [None if f is None else f[1] for f in found]})
 
-    return sentences.select(key, text).mapInPandas(run, f"{key} {kind}, cost double, tree string")
+    return sentences.select(*keys, text).mapInPandas(run, f"{kinds}, cost double, tree string")

@@ -686,13 +686,17 @@ def transitive_closure(t):
     return fixpoint.transitive_closure(edges)
 
 
+def _sentences(t) -> DataFrame:
+    """user_id, day, text: all events of a user's day in order; an event without a type is the word '?'."""
+    days = t.events.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("e"))
+    return days.select("user_id", "day", F.array_join(F.transform("e", lambda x: x.event_type), " ", "?").alias("text"))
+
+
 @query()
 def cyk_parse(t):
     grammar = fixpoint.Grammar([("S", ("N", "V", "N"), 1.0), ("S", ("N", "V"), 2.0), ("N", ("A", "N"), 0.5), ("V", ("move",), 0.0), ("N", ("thing",), 0.0), ("A", ("kind",), 0.0)])
     kinds = {"view": {"thing": 0.0}, "click": {"move": 0.0}, "purchase": {"move": 0.2, "thing": 0.3}, "signup": {"kind": 0.0, "thing": 1.0}, "error": {"kind": 0.1}}
-    first = t.events.groupBy("user_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("ts", "event_id", "event_type"))), 1, 4).alias("e"))
-    sentences = first.select("user_id", F.array_join(F.transform("e", lambda x: x.event_type), " ").alias("text"))
-    return fixpoint.parse_sentences(sentences, grammar, kinds, "S", key="user_id")
+    return fixpoint.parse_sentences(_sentences(t), grammar, kinds, "S", "user_id", "day")
 
 
 @query()
