@@ -18,7 +18,7 @@ UNITS = "mm cm m km inch inches foot feet yard yards mile miles mg g kg lb lbs p
 
 #: Windows of the benchmark that are sent to every executor; beyond it both sides are shuffled.
 BROADCAST_WINDOWS = 1_000_000
-#: Tokens in a window, tokens of an item that must be found (all, if it has fewer), and the fewest tokens of an item.
+#: Tokens in a window, tokens of an item that must be found (all, if it has fewer), and the fewest tokens of an item inside a text.
 WIDTH, RUN, LEAST = 8, 13, 5
 
 
@@ -49,6 +49,12 @@ def _windows(hashes: Column, width: int) -> Column:
     return F.when(last >= 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(0)) + 1), lambda i: F.xxhash64(F.slice(hashes, i, F.lit(width))))).otherwise(empty)
 
 
+def _reading(words: Column, start: int) -> Column:
+    """Tokens from `start` and their template."""
+    rest = lambda c: F.slice(c, start, F.greatest(F.size(words), F.lit(1)))
+    return F.struct(rest(words).alias("item_tokens"), rest(template(words)).alias("hashes"))
+
+
 def _slots(item: Column, doc: Column) -> Column:
     """Pairs of values at the placeholders of two aligned windows."""
     both = F.zip_with(item, doc, lambda a, b: F.struct(a.alias("a"), b.alias("b"), F.coalesce(placeholder(a, None).isNotNull() | (a != b), F.lit(False)).alias("slot")))
@@ -60,13 +66,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
     Columns: `key`, text_hash, `item`, n_windows (of the item, found in consistent alignments), n_slots (values
     compared) and n_changed (values that differ). An item counts as repeated when its windows found make up `run`
-    tokens, or all tokens of a shorter item. Items of less than `width` tokens are matched as one window; items of less
-    than `least` tokens, and null or empty ones, match nothing, as templates that short are everyday phrases. A null or
-    empty text repeats nothing. Null keys and ids are kept as values; equal rows give one row, and items of equal id and
+    tokens, or all tokens of a shorter item. Items of less than `width` tokens are matched as one window. Items of less
+    than `least` tokens match only texts that have just their words, as phrases that short are in everyday texts; null
+    or empty ones match nothing. What goes before an item in a text may make its first word a name or a unit, so that
+    word is matched in both readings. A null or empty text repeats nothing. Null keys and ids are kept as values; equal rows give one row, and items of equal id and
     text count as one. Other columns of either table are not read, so they may clash. Empty tables give no rows.
     """
-    questions = benchmark.select(F.col(item).alias("item"), text_or_empty().alias("t")).distinct().select("item", F.xxhash64("t").alias("item_hash"), tokens(F.col("t")).alias("item_tokens"))
-    questions = questions.where(F.size("item_tokens") >= least).select("*", F.size("item_tokens").alias("n"), template(F.col("item_tokens")).alias("hashes"))
+    questions = benchmark.select(F.col(item).alias("item"), text_or_empty().alias("t")).distinct().select("item", F.xxhash64("t").alias("item_hash"), tokens(F.col("t")).alias("alone"), tokens(F.concat(F.lit("1 "), "t")).alias("inside"))
+    questions = questions.select("item", "item_hash", F.size("alone").alias("n"), F.array(_reading(F.col("alone"), 1), _reading(F.col("inside"), 2)).alias("readings")).where("n > 0")
+    questions = questions.select("item", "item_hash", "n", F.explode(F.array_distinct("readings")).alias("r")).select("item", "item_hash", "n", "r.item_tokens", "r.hashes")
     widths = [r.w for r in questions.select(F.least("n", F.lit(width)).alias("w")).distinct().collect()]  # at most `width`
 
     rows = docs.select(F.col(key).alias("key"), text_or_empty(text).alias("t")).select("key", F.xxhash64("t").alias("text_hash"), tokens(F.col("t")).alias("words"))
@@ -74,14 +82,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     found = None
     for w in widths or [width]:
         asked = questions.where(F.least("n", F.lit(width)) == w).select("item", "item_hash", "item_tokens", "n", F.posexplode(_windows(F.col("hashes"), w)).alias("item_at", "h"))
-        asked = asked.select("item", "item_hash", "n", "item_at", "h", F.slice("item_tokens", F.col("item_at") + 1, w).alias("item_words"))
-        windows = rows.select("key", "text_hash", "words", F.posexplode(_windows(F.col("hashes"), w)).alias("at", "h"))
+        asked = asked.select("item", "item_hash", "n", "item_at", "h", F.slice("item_tokens", F.col("item_at") + 1, w).alias("item_words")).distinct()  # only first windows have two readings
+        windows = (rows.where(F.size("words") == w) if w < least else rows).select("key", "text_hash", "words", F.posexplode(_windows(F.col("hashes"), w)).alias("at", "h"))
         if asked.count() <= BROADCAST_WINDOWS:
             hit = windows.join(F.broadcast(asked), "h")
         else:
             places = windows.select("h", "key", "text_hash", "at").join(asked, "h")
             source = rows.select(F.col("key").alias("k"), F.col("text_hash").alias("th"), "words").dropDuplicates(["k", "th"])
             hit = places.join(source, F.col("key").eqNullSafe(F.col("k")) & (F.col("text_hash") == F.col("th")))
+        hit = hit.where(F.col("words") == F.col("item_words")) if w < least else hit
         hit = hit.select("key", "text_hash", "item", "item_hash", "n", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), _slots(F.col("item_words"), F.slice("words", F.col("at") + 1, w)).alias("slots"))
         found = hit if found is None else found.unionByName(hit)
 

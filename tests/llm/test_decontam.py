@@ -88,3 +88,22 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame(DOCS, "doc_id bigint, text string")
     assert decontam.contaminated(docs, items.limit(0)).count() == 0
     assert decontam.without_contaminated(docs, items.limit(0)).count() == len(DOCS)
+
+
+def found(spark, docs, items):
+    docs, items = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    return {(r.doc_id, r.item_id): r for r in decontam.contaminated(docs, items).collect()}
+
+
+def test_first_word_inside_a_sentence(spark):
+    items = [(1, "Natalia sold clips to 48 of her friends in April"), (2, "Seven dwarfs dig"), (3, "days pass slowly in this old town by the sea")]
+    docs = [(1, "please answer this Natalia sold clips to 48 of her friends in April"), (2, "here you go, Natalia sold clips to 48 of her friends in April."), (3, items[0][1]), (4, "after 12 days pass slowly in this old town by the sea"), (5, "ask Sophie sold clips to 50 of her friends in April"), (6, "ask Sophie sold clocks to 50 of her friends in April")]
+    got = found(spark, docs, items)
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (4, 3), (5, 1)}
+    assert {got[k].n_windows for k in ((1, 1), (2, 1), (3, 1), (5, 1))} == {3} and got[1, 1].n_changed == 0 and got[5, 1].n_changed == 2
+
+
+def test_short_items(spark):
+    items = [(1, "Seven dwarfs dig"), (2, "Why?"), (3, "..."), (4, "")]
+    got = found(spark, [(1, "seven  dwarfs dig!"), (2, "the seven dwarfs dig"), (3, "Eight dwarfs dig"), (4, "why"), (5, "why so"), (6, "..."), (7, "")], items)
+    assert set(got) == {(1, 1), (4, 2)}
