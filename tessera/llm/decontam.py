@@ -2,7 +2,8 @@
 
 Texts become tokens; numbers, names and units become typed placeholders, so that a question keeps its template when its
 parameters change. Windows of a template are hash-joined with the benchmark's. Along each alignment of a document with
-an item the placeholders' values are compared: an item's value must stand for one value of the document throughout.
+an item the placeholders' values are compared: where windows have changed values, an item's value must stand for one
+value of the document throughout them. Windows that are equal word for word count in any case.
 """
 
 from __future__ import annotations
@@ -64,7 +65,7 @@ def _slots(item: Column, doc: Column) -> Column:
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", width: int = WIDTH, run: int = RUN, least: int = LEAST) -> DataFrame:
     """A row for each distinct (`key`, text) and item that it repeats, maybe with other parameters.
 
-    Columns: `key`, text_hash, `item`, n_windows (of the item, found in consistent alignments), n_slots (values
+    Columns: `key`, text_hash, `item`, n_windows (of the item, found word for word or with consistent changes), n_slots (values
     compared) and n_changed (values that differ). An item counts as repeated when its windows found make up `run`
     tokens, or all tokens of a shorter item. Items of less than `width` tokens are matched as one window. Items of less
     than `least` tokens match only texts that have just their words, as phrases that short are in everyday texts; null
@@ -94,9 +95,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
         hit = hit.select("key", "text_hash", "item", "item_hash", "n", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), _slots(F.col("item_words"), F.slice("words", F.col("at") + 1, w)).alias("slots"))
         found = hit if found is None else found.unionByName(hit)
 
-    lines = found.groupBy("key", "text_hash", "item", "item_hash", "n", "shift").agg(F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    consistent = lines.where(F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s.a))))
-    whole = consistent.groupBy("key", "text_hash", "item", "item_hash", "n").agg(
+    changed = F.exists("slots", lambda s: s.a != s.b)
+    places = lambda which: F.collect_set(F.when(which, F.col("item_at")))
+    slots = lambda which: F.array_distinct(F.flatten(F.collect_set(F.when(which, F.col("slots")))))
+    lines = found.groupBy("key", "text_hash", "item", "item_hash", "n", "shift").agg(places(~changed).alias("same_places"), slots(~changed).alias("same"), places(changed).alias("changed_places"), slots(changed).alias("changed"))
+    consistent = F.size("changed") == F.size(F.array_distinct(F.transform("changed", lambda s: s.a)))
+    both = lambda a, b: F.when(consistent, F.array_union(a, b)).otherwise(F.col(a))
+    kept = lines.select("key", "text_hash", "item", "item_hash", "n", both("same_places", "changed_places").alias("places"), both("same", "changed").alias("slots"))
+    whole = kept.groupBy("key", "text_hash", "item", "item_hash", "n").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n_windows"),
         F.max(F.size("slots")).alias("n_slots"),
         F.max(F.size(F.filter("slots", lambda s: s.a != s.b))).alias("n_changed"),

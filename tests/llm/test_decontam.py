@@ -107,3 +107,12 @@ def test_short_items(spark):
     items = [(1, "Seven dwarfs dig"), (2, "Why?"), (3, "..."), (4, "")]
     got = found(spark, [(1, "seven  dwarfs dig!"), (2, "the seven dwarfs dig"), (3, "Eight dwarfs dig"), (4, "why"), (5, "why so"), (6, "..."), (7, "")], items)
     assert set(got) == {(1, 1), (4, 2)}
+
+
+def test_word_for_word_in_spite_of_one_conflict(spark):
+    item = "a clerk has to pay 12 dollars for every box that he sends by boat and nobody in the old harbour town knows why the price is so high when the whole trip takes no more than 12 hours"
+    docs = [(1, item), (2, item.replace("12 hours", "13 hours")), (3, item.replace("12 dollars", "14 dollars").replace("12 hours", "13 hours")), (4, "clerk pay 14 dollars for every box and trip takes no more than 13 hours")]
+    got = found(spark, docs, [(1, item)])
+    assert {k for k, _ in got} == {1, 2, 3} and got[1, 1].n_windows == got[2, 1].n_windows > got[3, 1].n_windows >= 6
+    short = "Anna has 12 red and Anna sold 12 blue hats"
+    assert set(found(spark, [(1, short.replace("sold 12", "sold 13")), (2, short.replace("12", "13")), (3, short)], [(1, short)])) == {(2, 1), (3, 1)}
