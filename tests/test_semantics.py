@@ -208,6 +208,12 @@ def test_closure(spark):
     assert {(0, 20), (18, 18), (19, 18), (50, 50)} <= got and (18, 0) not in got and len(got) == sum(1 for i in range(21) for j in range(21) if j > i or i >= 18 <= j) + 1
 
 
+def test_closure_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a int, b int")
+    got = [tuple(r) for r in fixpoint.transitive_closure(edges).collect()]
+    assert sorted(got) == [(i, j) for i in range(41) for j in range(i + 1, 41)]
+
+
 def test_boxes(spark):
     import random
 
