@@ -23,6 +23,8 @@ from .toxicity import held_out
 
 #: Labelled texts that a model is fitted on, chosen by a hash of their key: a documented bound on a classifier's sample.
 SAMPLE = 6_000
+#: Grades of a model at most, as each has a threshold and a part of the sample.
+GRADES = 256
 #: Size of the hashed table.
 DIM = 1 << 16
 #: Kept words in a worker; beyond it the table starts anew.
@@ -157,10 +159,12 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     At most `sample` keys are used, the same number of each grade where there are as many, the first by a hash of the
     key; so what is sent around, and the one task that fits the model, are bounded. Null keys and grades teach nothing.
-    With less than two grades every text gets that grade (or 0).
+    With less than two grades every text gets that grade (or 0). All grades are learnt; more than `GRADES` are an error.
     """
     marks = labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y")).where(F.col("_k").isNotNull() & F.col("_y").isNotNull() & ~held_out(F.col("_k"))).distinct()
-    grades = sorted(r._y for r in marks.select("_y").distinct().limit(64).collect())
+    grades = sorted(r._y for r in marks.select("_y").distinct().limit(GRADES + 1).collect())
+    if len(grades) > GRADES:
+        raise ValueError(f"{label} has more than {GRADES} grades; bin them first")
     if len(grades) < 2:
         return Model([*grades, *[0] * (1 - len(grades))], np.zeros(0), np.zeros(DIM))
     chosen = None

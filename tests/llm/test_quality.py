@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import quality
@@ -56,3 +57,12 @@ def test_edges(spark):
     one = quality.train(docs, spark.createDataFrame([(1, 3)], "doc_id bigint, quality int"))
     assert {r.expected_grade for r in quality.grade(docs, one).collect()} == {3.0}
     assert quality.grade(docs.limit(0), one).count() == 0
+
+
+def test_all_grades_are_learnt(spark):
+    rows = [(i, "good " * (i % 101) + "bad " * (100 - i % 101), i % 101) for i in range(404)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, quality int")
+    kept = {r.quality for r in docs.where(~quality.held_out(F.col("doc_id"))).select("quality").distinct().collect()}
+    assert len(kept) > 64 and quality.train(docs.select("doc_id", "text"), docs.select("doc_id", "quality")).grades == sorted(kept)
+    with pytest.raises(ValueError, match="grades"):
+        quality.train(docs, docs.withColumn("quality", F.col("doc_id").cast("int")))
