@@ -15,15 +15,19 @@ from pyspark.sql import functions as F
 
 #: White space between words, as the contracts fix it.
 SPACES = b" \t\n\v\f\r"
+#: Folders that `stage` and `stage_blocks` wrote and nothing has deleted yet, with the table's name where it is one.
+_SCRATCH: dict[str, str | None] = {}
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder's URI under `spark.checkpoint.dir`, which driver and executors see alike.
 
-    Only where that setting is missing (a single machine, as in tests) is a temporary folder used instead.
+    Only on a single machine, as in tests, is a temporary folder used where that setting is missing; a cluster raises.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or _context_dir(spark)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
@@ -39,7 +43,36 @@ def stage(df: DataFrame, purpose: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    _SCRATCH[path] = None
+    return out
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete what was staged for these frames; nothing that is still to be computed may need it."""
+    for df in staged:
+        _delete(df.sparkSession, df.staged_at)
+
+
+def clean(spark: SparkSession, *keep: DataFrame) -> None:
+    """Delete all that this process staged, folders and tables, but for `keep`: for when results are written."""
+    kept = {df.staged_at for df in keep}
+    for path in [p for p in _SCRATCH if p not in kept]:
+        _delete(spark, path)
+
+
+def scratch_table(path: str, name: str) -> None:
+    """Note that the table `name` was staged at `path`."""
+    _SCRATCH[path] = name
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    table = _SCRATCH.pop(path, None)
+    if table:
+        spark.sql(f"drop table if exists {table}")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def file_system(uri: str) -> tuple[fs.FileSystem, str]:

@@ -18,9 +18,10 @@ LOCAL = 1_000_000
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) for each node of `edges` (a long, b long).
 
-    Up to LOCAL edges go to one task. Beyond it, alternating large and small stars: each round joins every node to the smallest node near it, until only stars
-    remain. Rounds grow with the logarithm of the longest chain. Minima are aggregated before the shuffle and staged, so
-    that a node with very many neighbours is a skewed join, which can be split, and never one task's group.
+    Up to LOCAL edges go to one task. Beyond it, alternating large and small stars: each round joins every node to the
+    smallest node near it, until only stars remain. Rounds grow with the logarithm of the longest chain. Minima are
+    aggregated before the shuffle and staged, so that a node with very many neighbours is a skewed join, which can be
+    split, and never one task's group.
     """
     now = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     if now.count() <= LOCAL:

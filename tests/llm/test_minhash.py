@@ -24,11 +24,11 @@ def edited(rng, words, n):
     return words
 
 
-@pytest.mark.parametrize("side", [2048, 7])
-def test_families(spark, monkeypatch, side):
+@pytest.mark.parametrize(("few", "piece"), [(8, 128), (2, 3)])
+def test_families(spark, monkeypatch, few, piece):
     """Families around the threshold, in which many pairs are linked only through others."""
-    monkeypatch.setattr(minhash, "SIDE", side)
-    monkeypatch.setattr(minhash, "WEIGHT", side * 300)
+    monkeypatch.setattr(minhash, "FEW", few)
+    monkeypatch.setattr(minhash, "PIECE", piece)
     rng = random.Random(3)
     rows = []
     for family in range(8):
@@ -41,6 +41,18 @@ def test_families(spark, monkeypatch, side):
     check(spark, rows)
 
 
+def test_templates_do_not_meet(spark, monkeypatch):
+    """Documents of one template, none similar enough: hardly a pair is compared on full sets; a few links among them are found."""
+    rng, met = random.Random(9), []
+    template = ["t%d" % i for i in range(100)]
+    rows = [(i, " ".join([*template, *("o%d" % rng.randrange(10**9) for _ in range(15))])) for i in range(1500)]
+    rows += [(2000 + i, rows[i][1] + " more") for i in range(0, 1500, 50)]
+    linked = minhash._linked
+    monkeypatch.setattr(minhash, "_linked", lambda pairs, *rest: met.append(pairs.count()) or linked(pairs, *rest))
+    check(spark, rows)
+    assert met[0] <= 30 * len(rows) and sum(met[1:]) <= len(rows)
+
+
 def test_sample_of_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     check(spark, [tuple(r) for r in docs.collect()])
