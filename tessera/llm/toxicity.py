@@ -9,7 +9,9 @@ length, goes through a logistic curve fitted on the same texts.
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,15 +28,17 @@ from .common import stage, text_or_empty
 
 #: Labelled texts that a model is fitted on, chosen by a hash of their key: a documented bound on a classifier's sample.
 SAMPLE = 20_000
-#: Entries of a model at most, the toxic texts that must hold one, and the chance of one entry or more that mean nothing.
-ENTRIES, SUPPORT, CHANCE = 5_000, 4, 0.05
-#: The least log odds of an entry: twenty times as frequent in toxic texts.
-ODDS = 3.0
+#: The toxic texts that must hold an entry, and the chance of one entry or more that mean nothing.
+SUPPORT, CHANCE = 4, 0.05
+#: The least log odds of an entry: fifteen times as frequent in toxic texts.
+ODDS = 2.7
 #: Lengths of beginnings of words that are tried as entries.
 STEMS = (4, 5, 6, 7)
 
 #: Characters that look like the letters before the colon, and digits and signs that stand for letters.
-ALIKE = """a:аɑα@4 b:ьβв8 c:сϲ( e:еєε3 g:ɡ9 h:һн i:іιїɩ1!|l k:кκ m:мт n:пη o:оοσ0 p:рρ q:ԛ s:ѕ5$ t:тτ7+ u:υս v:ѵν w:ԝω x:хχ y:уγү z:2"""
+ALIKE = (
+    "a:аɑα@4 b:ьβв8 c:сϲ( e:еєε3 g:ɡ9 h:һн i:іιїɩ1!|l k:кκ m:мт n:пη o:оοσ0 p:рρ q:ԛ s:ѕ5$ t:тτ7+ u:υս v:ѵν w:ԝω x:хχ y:уγү z:2"
+)
 
 
 def _table() -> dict[int, str]:
@@ -63,20 +67,24 @@ def lowered(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
-def _words(low: str, folded: str) -> list[str]:
-    """Folded words without what is neither letter nor, between letters, a sign that stands for one."""
-    out, at = [], 0
-    for raw in low.split():
-        at = low.index(raw, at)
-        start, end = at, at + len(raw)
-        at = end
+#: Words as the contracts have them.
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def _spans(low: str, folded: str) -> Iterator[tuple[int, str]]:
+    """Where each word that has a letter starts, and its folded form without signs at its ends."""
+    for m in _WORD.finditer(low):
+        start, end = m.span()
         while start < end and not (low[start].isalpha() or low[start].isdigit()):
             start += 1
         while start < end and not (low[end - 1].isalpha() or low[end - 1].isdigit()):
             end -= 1
-        if start < end and any(map(str.isalpha, low[start:end])):
-            out.append(folded[start:end])
-    return out
+        if any(map(str.isalpha, low[start:end])):
+            yield m.start(), folded[start:end]
+
+
+def _words(low: str, folded: str) -> list[str]:
+    return [w for _, w in _spans(low, folded)]
 
 
 @dataclass
@@ -100,32 +108,32 @@ class Model:
         return a
 
     def measure(self, text: str, automaton: ahocorasick.Automaton) -> float:
-        """The weights of the text's hits, one for each word, over 1 + log(1 + words / 50)."""
+        """The weights of the text's hits over 1 + log(1 + words / 50).
+
+        An entry may start wherever no letter goes before it; of several that start at one place the heaviest counts. A
+        hit counts for nothing if its word and the word before or after it are an exception.
+        """
         if not len(automaton) or not text:
             return 0.0
         low = lowered(text)
         folded = low.translate(FOLD)
-        hits: dict[int, tuple[float, int]] = {}
+        hits: dict[int, float] = {}
         n = len(low)
         for last, (size, stem, whole) in automaton.iter(folded):
             start = last - size + 1
             if start and low[start - 1].isalpha():
                 continue
             weight = max(stem, whole if last + 1 == n or not low[last + 1].isalpha() else 0.0)
-            if weight > hits.get(start, (0.0, 0))[0]:
-                hits[start] = (weight, last + 1)
-        total = 0.0
-        for start, (weight, end) in hits.items():
-            if not self.exceptions or not self._excepted(low, folded, start, end):
-                total += weight
-        return total / (1 + np.log1p((text.count(" ") + 1) / 50)) if total else 0.0
-
-    def _excepted(self, low: str, folded: str, start: int, end: int) -> bool:
-        first = max(low.rfind(" ", 0, max(start - 1, 0)), low.rfind("\n", 0, max(start - 1, 0))) + 1
-        near = low[end:].split(None, 2)[:2] if len(low) - end < 200 else low[end : end + 200].split(None, 2)[:2]
-        stop = end + sum(map(len, near)) + 4
-        words = _words(low[first:stop], folded[first:stop])
-        return any(pair in self.exceptions for pair in zip(words, words[1:], strict=False))
+            if weight > hits.get(start, 0.0):
+                hits[start] = weight
+        if hits and self.exceptions:
+            starts, words = zip(*_spans(low, folded), strict=True) if any(map(str.isalpha, low)) else ((), ())
+            hits = {at: weight for at, weight in hits.items() if not self._excepted(words, bisect_right(starts, at) - 1)}
+        return sum(hits.values()) / (1 + np.log1p(len(text.encode().split()) / 50)) if hits else 0.0
+
+    def _excepted(self, words: tuple[str, ...], k: int) -> bool:
+        """Whether word k and one beside it are an exception."""
+        return any(0 <= i < len(words) - 1 and words[i : i + 2] in self.exceptions for i in (k - 1, k))
 
     def score(self, measure: float) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.slope * measure + self.shift, -30, 30))))
@@ -134,36 +142,44 @@ class Model:
 def fit(labelled: DataFrame, text: str = "text", label: str = "toxic") -> Model:
     """A model from all given rows with a label of 0 or 1 (a bounded sample: see `train`); other labels do not count.
 
-    Words and beginnings of words are counted in the executors, once for each different text. An entry's surplus in toxic
+    Words and beginnings of words are counted in the executors: in how many different texts they are, and how many
+    different words of a text a beginning stands for; the odds go by the latter. An entry's surplus in toxic
     texts must be significant by a likelihood-ratio test among all terms tried, so the rule goes with the sample. No rows
-    give no entries. Without entries, or when no text has a hit, nothing was learnt, and every text scores below 0.5.
+    give no entries. Without entries, or when no text has a hit, nothing was learnt, and every text scores below 0.5. All
+    terms and exceptions that pass are kept; there are no more than the words of the sample.
     """
     rows = labelled.select(text_or_empty(text).alias("text"), F.col(label).cast("int").alias("toxic")).where("toxic in (0, 1)")
     chosen = stage(rows.dropDuplicates(["text", "toxic"]), "labelled")  # a copy is no further evidence
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
+        texts: tuple[Counter, Counter] = (Counter(), Counter())
+        uses: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
             for t, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 low = lowered(t)
                 words = set(_words(low, low.translate(FOLD)))
-                counts[toxic].update((w, True) for w in words)
-                counts[toxic].update({(w[:k], False) for w in words for k in STEMS if len(w) >= k})
-        for toxic, found in enumerate(counts):
-            items = list(found.items())
+                found = Counter((w[:k], False) for w in words for k in STEMS if len(w) >= k)
+                found.update((w, True) for w in words)
+                uses[toxic].update(found)
+                texts[toxic].update(found.keys())
+        for toxic in (0, 1):
+            items = list(texts[toxic].items())
             for i in range(0, len(items), 50_000):
                 part = items[i : i + 50_000]
                 columns = [pa.array([t for (t, _), _ in part], pa.string()), pa.array([w for (_, w), _ in part], pa.bool_())]
-                columns += [pa.array([n * (1 - toxic) for _, n in part], pa.int64()), pa.array([n * toxic for _, n in part], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["term", "whole", "clean", "toxic"])
+                columns += [pa.array([n * (label == toxic) for _, n in part], pa.int64()) for label in (0, 1)]
+                columns += [pa.array([uses[toxic][k] * (label == toxic) for k, _ in part], pa.int64()) for label in (0, 1)]
+                yield pa.RecordBatch.from_arrays(columns, names=["term", "whole", "clean", "toxic", "clean_uses", "toxic_uses"])
 
     nothing = lambda: Model({}, frozenset(), 1.0, -5.0)
     totals = {r.toxic: r.n for r in chosen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_clean, n_toxic = totals.get(0, 0), totals.get(1, 0)
     if not n_toxic or not n_clean:
         return nothing()
-    counted = chosen.mapInArrow(terms, "term string, whole boolean, clean bigint, toxic bigint").groupBy("term", "whole").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
+    kinds = "term string, whole boolean, clean bigint, toxic bigint, clean_uses bigint, toxic_uses bigint"
+    sums = [F.sum(c).alias(c) for c in ("clean", "toxic", "clean_uses", "toxic_uses")]
+    counted = chosen.mapInArrow(terms, kinds).groupBy("term", "whole").agg(*sums)
+    odds = F.log((F.col("toxic_uses") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean_uses") + 0.5) / (n_clean + 1))
     least = max(2, min(SUPPORT, n_toxic // 10))
     tried = stage(counted.where(F.col("toxic") >= least), "terms")
     n_tried = tried.count()
@@ -171,7 +187,6 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic") -> Model:
         return nothing()
     # A find by chance has few toxic texts and happens to have no clean ones; the more terms are tried, the more of them.
     best = tried.where((odds >= ODDS) & (_evidence(n_clean, n_toxic) >= NormalDist().inv_cdf(CHANCE / n_tried) ** 2)).withColumn("weight", odds)
-    best = best.orderBy(F.desc(F.col("weight") * F.sqrt("toxic")), F.desc("whole"), "term").limit(ENTRIES)
     rows = best.select("term", "whole", "weight", "toxic").collect()
     # A beginning that stands for one word only would catch other words by accident ("path" for "pathetic").
     single = Counter()
@@ -214,8 +229,9 @@ def _exceptions(chosen: DataFrame, model: Model) -> frozenset[tuple[str, str]]:
 
     if not model.entries:
         return frozenset()
-    found = chosen.mapInArrow(phrases, "a string, b string, toxic int").groupBy("a", "b").agg(F.sum(F.lit(1) - F.col("toxic")).alias("clean"), F.sum("toxic").alias("toxic"))
-    return frozenset((r.a, r.b) for r in found.where("clean >= 3 and clean >= 10 * toxic").orderBy(F.desc("clean"), "a", "b").limit(ENTRIES).collect())
+    texts = [F.sum(F.lit(1) - F.col("toxic")).alias("clean"), F.sum("toxic").alias("toxic")]
+    found = chosen.mapInArrow(phrases, "a string, b string, toxic int").groupBy("a", "b").agg(*texts)
+    return frozenset((r.a, r.b) for r in found.where("clean >= 3 and clean >= 10 * toxic").collect())
 
 
 def _measured(chosen: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
@@ -263,13 +279,17 @@ def score(model: Model, text: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
     """A model from labelled rows of `docs` that are not held out; `labels` has `key` and `label`.
 
-    Of each label, sample / 2 keys at most are used, the first by a hash of the key; so what is sent to the executors
-    is bounded. Keys that are null, or held out, or in one table only, teach nothing.
+    Of each label, sample / 2 keys at most are used, the first by a hash of the key, and of rows of one key the smallest
+    text; so what is sent to the executors is bounded. Keys that are null, or held out, or in one table only, teach
+    nothing.
     """
-    marks = labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_toxic")).where(F.col("_k").isNotNull() & ~held_out(F.col("_k"))).distinct()
+    marks = labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_toxic"))
+    marks = marks.where(F.col("_k").isNotNull() & ~held_out(F.col("_k"))).distinct()
     halves = [marks.where(F.col("_toxic") == v).orderBy(F.xxhash64("_k"), "_k").limit(sample // 2) for v in (0, 1)]
-    known = docs.join(F.broadcast(halves[0].unionByName(halves[1])), docs[key] == F.col("_k")).select(F.col(text).alias("text"), F.col("_toxic").alias("toxic"))
-    return fit(known)
+    rows = docs.select(F.col(key).alias("_key"), text_or_empty(text).alias("_text"))
+    known = rows.join(F.broadcast(halves[0].unionByName(halves[1])), F.col("_key") == F.col("_k"))
+    known = known.groupBy("_k", "_toxic").agg(F.min("_text").alias("_text"))
+    return fit(known, "_text", "_toxic")
 
 
 def without_toxic(docs: DataFrame, model: Model, text: str = "text", limit: float = 0.5) -> DataFrame:
