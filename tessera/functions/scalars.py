@@ -54,3 +54,14 @@ def bounded_lag(game_time: Column, now: Column, longest: int = MAX_STEP) -> Colu
 def half_excess(prediction: Column, actual: Column) -> Column:
     """Half of what a prediction exceeds the actual duration by, in whole units; 0 if it does not."""
     return F.greatest(_div(F.abs(prediction - actual), F.lit(2).cast("long")), F.lit(0).cast("long")) * (prediction > actual).cast("long")
+
+
+def seconds(nanoseconds: Column) -> Column:
+    """Whole nanoseconds as seconds."""
+    return nanoseconds.cast("double") / F.lit(1e9)
+
+
+def nanoseconds(seconds_: Column) -> Column:
+    """Seconds as whole nanoseconds, halves away from zero."""
+    scaled = seconds_.cast("double") * F.lit(1e9)
+    return (F.signum(scaled) * F.floor(F.abs(scaled) + F.lit(0.5))).cast("long")

@@ -1,4 +1,4 @@
-"""Expressions over vectors kept as structs of two numbers, x and y."""
+"""Expressions over vectors: structs of two numbers, x and y, and arrays of any number of them."""
 
 from __future__ import annotations
 
@@ -73,3 +73,44 @@ def greatest(a: Column, b: Column) -> Column:
 def clamp(x: Column, low: Column | float, high: Column | float) -> Column:
     as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
     return F.greatest(as_col(low), F.least(x, as_col(high)))
+
+
+# -- arrays of k numbers
+
+
+def vec_k(*parts: Column | str) -> Column:
+    """k columns seen as one vector."""
+    return F.array(*parts)
+
+
+def subvector(a: Column, without: int) -> Column:
+    """The vector of one dimension less: without the component at place `without`, from 0."""
+    return F.concat(F.slice(a, 1, without), F.slice(a, without + 2, F.greatest(F.size(a) - without - 1, F.lit(0))))
+
+
+def zero_k(k: int) -> Column:
+    return F.array_repeat(F.lit(0.0), k)
+
+
+def cardinal_k(k: int, place: int) -> Column:
+    return F.array(*(F.lit(float(i == place)) for i in range(k)))
+
+
+def add_k(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x + y)
+
+
+def subtract_k(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x - y)
+
+
+def scale_k(a: Column, k: Column | float) -> Column:
+    return F.transform(a, lambda x: x * k)
+
+
+def dot_k(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+
+
+def length_k(a: Column) -> Column:
+    return F.sqrt(dot_k(a, a))

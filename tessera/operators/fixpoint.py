@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -10,20 +9,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .staging import staged
+
 
 def transitive_closure(edges: DataFrame) -> DataFrame:
     """a, b for each path of at least one edge, in distinct rows.
 
     Paths double in each round, so rounds grow with the logarithm of the longest; it ends when a round adds nothing.
     """
-    spark = edges.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
     paths = edges.select("a", "b").where("a is not null and b is not null").distinct()
     n = paths.count()
     while True:
         longer = paths.alias("x").join(paths.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b")
-        paths = paths.unionByName(longer).distinct().checkpoint()
+        paths = staged(paths.unionByName(longer).distinct(), "paths")
         now = paths.count()
         if now == n:
             return paths

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .relation import Key, Relation
+from .staging import hinted
 
 
 @dataclass(frozen=True)
@@ -57,6 +58,10 @@ class Query:
 
     # -- results
 
+    def sorted(self) -> Query:
+        """Rows in the order of the key in scope; without it their order is free."""
+        return replace(self, df=self.df.orderBy(*self.key_columns()))
+
     def select(self, **columns: tuple[str, str]) -> DataFrame:
         """A flat frame: each name is taken from (relation, column)."""
         return self.df.select(*(F.col(r)[c].alias(n) for n, (r, c) in columns.items()))
@@ -82,7 +87,7 @@ class Join:
     kind: str
 
     def merge(self) -> Query:
-        """Both sides are walked in the order of the key."""
+        """Both sides are walked in the order of the key; a side that can be broadcast need not be."""
         if self.kind == "left":
             return self._lookup("merge")
         keys, left, right = self._keyed()
@@ -92,7 +97,7 @@ class Join:
             keys = [*keys, "_rn"]
         if self.kind == "left_anti":
             right = right.select(*keys)
-        joined = left.join(right.hint("merge"), keys, self.kind)
+        joined = left.join(hinted(left, right, "merge"), keys, self.kind)
         if self.kind == "inner":
             out = self.right  # an inner merge continues with the right's key
             return self._done(joined, out.scope, out.key, self.left.unique or self.right.unique)
@@ -111,7 +116,7 @@ class Join:
             best = F.min(F.struct(*self.right.names)).alias("_first")
             right = right.groupBy(*keys).agg(best).select(*keys, "_first.*")
         if hint:
-            right = right.hint(hint)
+            right = hinted(left, right, hint)
         return self._done(left.join(right, keys, self.kind), self.left.scope, self.left.key, self.left.unique)
 
     def _keyed(self) -> tuple[list[str], DataFrame, DataFrame]:

@@ -11,6 +11,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staging import hinted, staged
+
 #: A key part: a column's name, or an expression over a row.
 Key = str | Callable[[Callable[[str], Column]], Column]
 
@@ -30,25 +32,26 @@ def with_rn(df: DataFrame, key: Sequence[str], order: Sequence[str | Column] | N
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
 
 
-def numbered(df: DataFrame, order: Sequence[str], name: str = "pos", start: int = 0, cells: int = 64) -> DataFrame:
-    """`df` with a gapless position from `start` in the given total order.
+def numbered(df: DataFrame, order: Sequence[str], name: str = "pos", start: int = 0) -> DataFrame:
+    """`df` with a gapless position from `start` in the given total order, of columns of any type.
 
-    Rows are cut into cells by quantiles of the first column where that is a number, and numbered in each cell; the
-    cells' counts, at most `cells` numbers, give the offsets. So no task sorts the whole table.
+    Rows are dealt to as many ranges as the session has shuffle partitions, sorted in each, and staged with their place in
+    it; the ranges' counts, a number for each, give the offsets. So no task sorts or counts the whole table.
     """
-    kind = df.schema[order[0]].dataType.typeName()
-    if kind not in ("integer", "long", "short", "byte", "float", "double"):
-        return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1 + start).cast("long"))
-    cuts = sorted({x for x in df.approxQuantile(order[0], [i / cells for i in range(1, cells)], 0.005)})
-    cell = F.coalesce(F.aggregate(F.array(*map(F.lit, cuts)), F.lit(0), lambda n, b: n + (F.col(order[0]) >= b).cast("int")), F.lit(-1)) if cuts else F.lit(0)
-    placed = df.withColumn("_cell", cell)
-    before, offsets = start, []
-    for c, n in sorted((r[0], r[1]) for r in placed.groupBy("_cell").count().collect()):
-        offsets += [F.lit(c), F.lit(before)]
-        before += n
-    base = F.create_map(*offsets)[F.col("_cell")] if offsets else F.lit(start)
-    rn = F.row_number().over(Window.partitionBy("_cell").orderBy(*order))
-    return placed.withColumn(name, (rn - 1 + base).cast("long")).drop("_cell")
+    spark = df.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    # The lower 33 bits count a partition's rows, the upper ones are its number.
+    placed = staged(dealt.withColumn("_id", F.monotonically_increasing_id()), "numbered")
+    counts = placed.groupBy(F.shiftright("_id", 33).alias("_range")).count().collect()
+    before, rows = start, []
+    for r in sorted(counts):
+        rows.append((r["_range"], before))
+        before += r["count"]
+    offsets = F.broadcast(spark.createDataFrame(rows, "_range bigint, _before bigint"))  # a row for each range
+    found = placed.withColumn("_range", F.shiftright("_id", 33)).join(offsets, "_range")
+    place = F.col("_id").bitwiseAND((1 << 33) - 1)
+    return found.select(*df.columns, (F.col("_before") + place).alias(name))
 
 
 @dataclass(frozen=True)
@@ -99,6 +102,10 @@ class Relation:
 
     # -- changes
 
+    def clear(self) -> Relation:
+        """Without any row; the columns stay."""
+        return replace(self, df=self.df.limit(0))
+
     def append(self, rows: DataFrame, check: bool = False) -> Relation:
         """Rows whose keys are at least the largest one; that is checked on demand."""
         if check:
@@ -170,7 +177,7 @@ def overwrite(left: DataFrame, right: DataFrame, key: Sequence[str], unique: boo
     source = right.select(*key, *shared) if unique else first_per_key(right.select(*key, *shared), key)
     source = source.select(*key, F.struct(F.lit(True).alias("_hit"), *shared).alias("_new"))
     if hint:
-        source = source.hint(hint)
+        source = hinted(left, source, hint)
     joined = left.join(source, list(key), "left")
     hit = F.col("_new").isNotNull()
     return joined.select(*(F.when(hit, F.col("_new")[c]).otherwise(F.col(c)).alias(c) if c in shared else F.col(c) for c in left.columns))

@@ -75,6 +75,11 @@ def scan_column_subset(t):
     return t.customer.select("c_custkey", "c_mktsegment")
 
 
+@query("select c_name, c_custkey, row_number() over (order by c_name, c_custkey) - 1 as pos from customer")
+def positions_by_name(t):
+    return numbered(t.customer.select("c_name", "c_custkey"), ["c_name", "c_custkey"])
+
+
 @query("select * from (select c_custkey, c_name, row_number() over (order by c_custkey) - 1 as pos from customer) where pos = 77")
 def row_at_position(t):
     return numbered(t.customer.select("c_custkey", "c_name"), ["c_custkey"]).where("pos = 77")
@@ -237,11 +242,14 @@ def update_intersect(t):
     return assign(t.supplier.select("s_suppkey", "s_name", "s_acctbal"), {"s_acctbal": F.col("s_acctbal") * 2, "angle": F.lit(0)})
 
 
-@query("""with n as (select o_custkey as c_custkey, max(o_totalprice) as c_acctbal from orders where o_orderkey % 3 = 0 group by o_custkey)
-select c_custkey, c_acctbal from customer anti join n using (c_custkey) union all select c_custkey, c_acctbal from n""")
+@query("""with a as (select c_custkey, c_acctbal from customer union all select s_suppkey + 1000000, s_acctbal from supplier),
+    n as (select o_custkey as c_custkey, max(o_totalprice) as c_acctbal from orders group by o_custkey)
+    select c_custkey, c_acctbal from a anti join n using (c_custkey) union all select c_custkey, c_acctbal from n""")
 def upsert(t):
-    rows = t.orders.where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("c_acctbal"))
-    return t.relation("customer", "c_custkey", "c_custkey", "c_acctbal").upsert(rows).df
+    """Accounts of customers, who have orders, and of suppliers, who have none."""
+    suppliers = t.supplier.select((F.col("s_suppkey") + 1_000_000).alias("c_custkey"), F.col("s_acctbal").alias("c_acctbal"))
+    accounts = t.relation("customer", "c_custkey", "c_custkey", "c_acctbal").insert(suppliers)
+    return accounts.upsert(t.orders.select(F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("c_acctbal"))).df
 
 
 @query("select count(*) as erased from lineitem where l_orderkey in (select o_orderkey from orders where o_totalprice > 150000)")
@@ -281,6 +289,12 @@ def handle_lookup(t):
     return lands.lookup(t.customer.select("c_custkey", F.col("c_nationkey").cast("long").alias("c_nationkey")), "c_nationkey").select("c_custkey", "n_name")
 
 
+@query("select c_custkey, c_acctbal from customer where false union all select s_suppkey, s_acctbal from supplier")
+def clear_and_insert(t):
+    cleared = t.relation("customer", "c_custkey", "c_custkey", "c_acctbal").clear()
+    return cleared.insert(t.supplier.select(F.col("s_suppkey").alias("c_custkey"), F.col("s_acctbal").alias("c_acctbal"))).df
+
+
 # -- index joins ------------------------------------------------------------------------------------------------------
 
 
@@ -605,6 +619,18 @@ def tick_snapshot(t):
     return ticks.snapshot_counts(_ticked(t))
 
 
+@query(f"with {_TICKED} select event_id, tick, 15 as reader_tick from ticked where tick < 15")
+def tick_snapshot_rows(t):
+    return ticks.PerTick(_ticked(t), "snapshot").read(15).select("event_id", "tick", "reader_tick")
+
+
+@query(f"""with {_TICKED} select 'clear' as kind, event_id from ticked where tick = 15 union all select 'snapshot', event_id from ticked where tick < 15
+union all select 'buffer', event_id from ticked where tick = 14""")
+def tick_declared(t):
+    seen = [ticks.PerTick(_ticked(t), k).read(15).select(F.lit(k).alias("kind"), "event_id") for k in ("clear", "snapshot", "buffer")]
+    return seen[0].unionByName(seen[1]).unionByName(seen[2])
+
+
 @query(f"with {_TICKED} select event_id, tick, tick + 1 as reader_tick from ticked where tick + 1 in (select tick from ticked)")
 def tick_double_buffer(t):
     rows = _ticked(t)
@@ -629,6 +655,22 @@ def vec_view(t):
     return t.part.select("p_partkey", vectors.vec(F.col("p_size").cast("double"), "p_retailprice").alias("v")).select("p_partkey", "v.x", "v.y")
 
 
+@query("""with v as (select p_partkey, p_size::double as a, p_retailprice as b, (p_partkey % 7)::double as c from part)
+select p_partkey, a * 2 - b as x, c * 2 - a as y, b * 2 - c as z, 0e0 + a * b + c * a + b * c as d, round(sqrt(0e0 + a * a + c * c), 9) as plane from v""")
+def vec_three(t):
+    v = t.part.select("p_partkey", F.col("p_size").cast("double").alias("a"), F.col("p_retailprice").alias("b"), (F.col("p_partkey") % 7).cast("double").alias("c"))
+    p, q = vectors.vec_k("a", "c", "b"), vectors.vec_k("b", "a", "c")
+    moved = vectors.add_k(vectors.subtract_k(vectors.scale_k(p, 2.0), q), vectors.zero_k(3))
+    flat = F.round(vectors.length_k(vectors.subvector(p, 2)), 9)
+    return v.select("p_partkey", moved[0].alias("x"), moved[1].alias("y"), moved[2].alias("z"), vectors.dot_k(p, q).alias("d"), flat.alias("plane"))
+
+
+@query("""select event_id, event_id * 1234567 / 1e9 as seconds, cast(round(value * 1000) as bigint) * 1000000 as nanoseconds from events""")
+def duration_casts(t):
+    whole = F.floor(F.col("value") * 1000 + 0.5) / 1000
+    return t.events.select("event_id", scalars.seconds(F.col("event_id") * 1_234_567).alias("seconds"), scalars.nanoseconds(whole).alias("nanoseconds"))
+
+
 @query("""with v as (select p_partkey, (p_size - 10)::double as x, (p_size % 3)::double as y from part)
 select p_partkey, x * x + y * y as squared, round(sqrt(x * x + y * y), 9) as length, round(x / nullif(sqrt(x * x + y * y), 0), 9) as unit_x from v""")
 def vec_length(t):
@@ -679,6 +721,16 @@ def path_stem(t):
 # -- closures, parsing, files, extensions -----------------------------------------------------------------------------
 
 
+_GRAMMAR = [
+    ("S", ("N", "V", "N"), 1.0),
+    ("S", ("N", "V"), 2.0),
+    ("N", ("A", "N"), 0.5),
+    ("V", ("move",), 0.0),
+    ("N", ("thing",), 0.0),
+    ("A", ("kind",), 0.0),
+]
+
+
 @query("""with recursive e as (select n_nationkey as a, n_regionkey + 100 as b from nation union select r_regionkey + 100, r_regionkey + 101 from region),
 c as (select a, b from e union select c.a, e.b from c join e on c.b = e.a) select a, b from c""")
 def transitive_closure(t):
@@ -686,6 +738,16 @@ def transitive_closure(t):
     return fixpoint.transitive_closure(edges)
 
 
+@query("""select * from (values (1, 1.0e0, '(S (N (thing)) (V (move)) (N (thing)))'), (2, 2.0e0, '(S (N (thing)) (V (move)))'),
+    (3, 1.5e0, '(S (N (A (kind)) (N (thing))) (V (move)) (N (thing)))'), (4, null, null), (5, null, null)) t(id, cost, tree)""")
+def cyk_parse_fixed(t):
+    """A few sentences whose cheapest parses are written out in the SQL."""
+    texts = ["thing move thing", "thing move", "kind thing move thing", "move thing", ""]
+    sentences = t._spark.createDataFrame(list(enumerate(texts, 1)), "id int, text string")
+    words = {w: {w: 0.0} for w in ("thing", "move", "kind")}
+    return fixpoint.parse_sentences(sentences, fixpoint.Grammar(_GRAMMAR), words, "S")
+
+
 def _sentences(t) -> DataFrame:
     """user_id, day, text: all events of a user's day in order; an event without a type is the word '?'."""
     days = t.events.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("e"))
@@ -694,12 +756,13 @@ def _sentences(t) -> DataFrame:
 
 @query()
 def cyk_parse(t):
-    grammar = fixpoint.Grammar([("S", ("N", "V", "N"), 1.0), ("S", ("N", "V"), 2.0), ("N", ("A", "N"), 0.5), ("V", ("move",), 0.0), ("N", ("thing",), 0.0), ("A", ("kind",), 0.0)])
+    grammar = fixpoint.Grammar(_GRAMMAR)
     kinds = {"view": {"thing": 0.0}, "click": {"move": 0.0}, "purchase": {"move": 0.2, "thing": 0.3}, "signup": {"kind": 0.0, "thing": 1.0}, "error": {"kind": 0.1}}
     return fixpoint.parse_sentences(_sentences(t), grammar, kinds, "S", "user_id", "day")
 
 
-@query()
+@query("""select * from (values (16::bigint, 'grass', 'a', 0), (16::bigint, 'grass', 'b', 1), (16::bigint, 'stone', 'c', 0), (32::bigint, 'stone', 'c', 0))
+    t(size, type, name, array_index)""")
 def dir_tree_source(t):
     from ..sources import files
 
@@ -714,9 +777,9 @@ def _boxes(t) -> DataFrame:
 _BOXES = "b as (select p_partkey as id, p_size::double as lo_x, p_retailprice / 100 as lo_y, p_size::double + 1 as hi_x, p_retailprice / 100 + 0.25 as hi_y from part)"
 
 
-@query(f"with {_BOXES} select a.id as a_id, b.id as b_id from b a join b on a.lo_x <= b.hi_x and b.lo_x <= a.hi_x and a.lo_y <= b.hi_y and b.lo_y <= a.hi_y where a.id <= 100")
+@query(f"with {_BOXES} select a.id as a_id, b.id as b_id from b a join b on a.lo_x <= b.hi_x and b.lo_x <= a.hi_x and a.lo_y <= b.hi_y and b.lo_y <= a.hi_y")
 def aabb_overlap(t):
-    return spatial.overlapping(_boxes(t).where("id <= 100"), _boxes(t), 2.0)
+    return spatial.overlapping(_boxes(t), _boxes(t), 2.0)
 
 
 @query(f"with {_BOXES} select a.id as a_id, b.id as b_id from b a join b on a.id < b.id and a.lo_x <= b.hi_x and b.lo_x <= a.hi_x and a.lo_y <= b.hi_y and b.lo_y <= a.hi_y")

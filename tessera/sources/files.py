@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyarrow import fs
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import leading_int, power_of_two
+from ..operators.staging import shared_folder
 
 
 def sprite_tree(spark: SparkSession, root: str) -> DataFrame:
@@ -32,9 +32,8 @@ def whole_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sample_tree(spark: SparkSession) -> str:
-    """A small tree of stub files, under the shared folder where there is one; returns its root."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-")
-    root = f"{base.rstrip('/')}/tree-{uuid.uuid4().hex}"
+    """A small tree of stub files under the shared folder; returns its root."""
+    root = f"{shared_folder(spark)}/tree-{uuid.uuid4().hex}"
     system, path = fs.FileSystem.from_uri(root)
     for name in ("16/grass/b.png", "16/grass/a.png", "16/stone/c.png", "32/stone/c.png", "none/stone/x.png", "32/stone/read.me"):
         folder, _, _ = f"{path}/{name}".rpartition("/")

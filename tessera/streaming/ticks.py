@@ -7,6 +7,7 @@ over micro-batches, a tick being a batch.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,30 @@ def double_buffered(rows: DataFrame, ticks: DataFrame, tick: str = TICK) -> Data
     return rows.withColumn("reader_tick", F.col(tick) + 1).join(known, "reader_tick", "left_semi")
 
 
+def snapshot(rows: DataFrame, at: int, tick: str = TICK) -> DataFrame:
+    """What the reader of tick `at` sees of rows that accumulate: all of earlier ticks."""
+    return rows.where(F.col(tick) < at).withColumn("reader_tick", F.lit(at))
+
+
+@dataclass(frozen=True)
+class PerTick:
+    """Declares how a relation's rows live over ticks: 'clear', 'snapshot' or 'buffer' (the tick before, then cleared)."""
+
+    rows: DataFrame
+    kind: str
+    tick: str = TICK
+
+    def __post_init__(self):
+        if self.kind not in ("clear", "snapshot", "buffer"):
+            raise ValueError(f"no way of ticking named {self.kind}")
+
+    def read(self, at: int) -> DataFrame:
+        """The rows that a reader at tick `at` sees."""
+        if self.kind == "snapshot":
+            return snapshot(self.rows, at, self.tick)
+        return self.rows.where(F.col(self.tick) == at - (self.kind == "buffer")).withColumn("reader_tick", F.lit(at))
+
+
 def snapshot_counts(rows: DataFrame, tick: str = TICK) -> DataFrame:
     """tick, n_new, n_seen: rows put at each tick, and rows that its reader sees: all of earlier ticks.
 

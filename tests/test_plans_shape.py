@@ -28,7 +28,7 @@ def test_pruning(spark):
 
 def test_no_python_and_no_cartesian(spark):
     for name in plans.queries():
-        if name not in ("cyk_parse",):
+        if name not in ("cyk_parse", "cyk_parse_fixed"):
             text = plan(spark, name)
             assert not re.search(r"PythonUDF|ArrowEval|MapIn|CartesianProduct|BroadcastNestedLoop", text), name
 
@@ -41,3 +41,17 @@ def test_numbered_rows_share_their_exchange(spark):
     finally:
         spark.conf.unset("spark.sql.requireAllClusterKeysForCoPartition")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_small_sides_are_not_shuffled_to(spark):
+    """A few nations meet all moves: no exchange by their 25 keys."""
+    for name in ("default_amend_chain", "natural_join_hash"):
+        assert "nationkey" not in " ".join(re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan(spark, name))), name
+
+
+def test_large_sides_keep_their_hint(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "ShuffledHashJoin" in plan(spark, "natural_join_hash") and "SortMergeJoin" in plan(spark, "natural_join_merge")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -250,3 +250,23 @@ def test_pressed_keys(spark, tmp_path):
     streamed = {r.key for r in spark.table("pressed").where("down").collect()}
     batch = {r.key for r in ticks.latest_state(spark.createDataFrame(rows), ["key"], ["order"], F.col("down")).collect()}
     assert streamed == batch == {2, 3}
+
+
+def test_closure_of_a_long_chain(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(100)], "a bigint, b bigint")
+    assert fixpoint.transitive_closure(chain).count() == 5050
+
+
+def test_positions_of_any_type(spark):
+    rows = [(None, 1), ("b", 2), ("a", 3), ("", 4), *(("same", k) for k in range(50))]
+    got = numbered(spark.createDataFrame(rows, "s string, n int").repartition(5), ["s", "n"], start=7).collect()
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    assert [(r.s, r.n) for r in sorted(got, key=lambda r: r.pos)] == want and sorted(r.pos for r in got) == list(range(7, 61))
+    assert numbered(spark.createDataFrame([], "s string"), ["s"]).count() == 0
+
+
+def test_cleared_and_sorted(spark):
+    df = spark.createDataFrame([(3, "c"), (1, "a"), (2, "b")], "id int, x string")
+    r = Relation(df, "r", ("id",))
+    assert r.clear().df.count() == 0 and r.clear().df.columns == df.columns
+    assert [x.r.id for x in from_(r).join(r.aliased("s")).merge().sorted().df.collect()] == [1, 2, 3]
