@@ -57,7 +57,7 @@ def _buckets(docs: DataFrame) -> int:
 
 
 def stage_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """block long, keys array, texts array<string> (null: empty), written to the shared folder and read back.
+    """block long, bytes long (of text), keys array, texts array<string> (null: empty), written to the shared folder and read back.
 
     A block's number tells the partition that wrote it; it is fixed once the table is written.
     """
@@ -81,12 +81,13 @@ def stage_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
                     numbers[bucket] = _numbers(partition, bucket, buckets)
                 block = pa.array([next(numbers[bucket])], pa.int64())
                 lists = [pa.ListArray.from_arrays(offsets, keys), pa.ListArray.from_arrays(offsets, texts)]
-                yield pa.RecordBatch.from_arrays([block, *lists], names=["block", "keys", "texts"])
+                held = pa.array([int(sizes[end - 1] - base)], pa.int64())
+                yield pa.RecordBatch.from_arrays([block, held, *lists], names=["block", "bytes", "keys", "texts"])
                 done, start = done + 1, end
 
     rows = docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text"))
-    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("keys", T.ArrayType(kind)), T.StructField("texts", T.ArrayType(T.StringType()))])
-    cuts = rows.mapInArrow(cut, schema)
+    kinds = {"block": T.LongType(), "bytes": T.LongType(), "keys": T.ArrayType(kind), "texts": T.ArrayType(T.StringType())}
+    cuts = rows.mapInArrow(cut, T.StructType([T.StructField(n, k) for n, k in kinds.items()]))
     name, path = f"tessera_blocks_{uuid.uuid4().hex}", shared_dir(spark, "blocks")
     cuts.write.option("path", path).option("compression", "zstd").bucketBy(buckets, "block").saveAsTable(name)
     scratch_table(path, name)

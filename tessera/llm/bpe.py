@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -113,6 +114,12 @@ class ByteBpe:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+@lru_cache(maxsize=2)
+def byte_bpe(vocabulary: str, pattern: str) -> ByteBpe:
+    """One for each worker process, which keeps it from task to task."""
+    return ByteBpe(vocabulary, pattern)
+
+
 def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`key`, ids (binary: little-endian unsigned 32-bit integers) and decoded (binary) of each row of `docs`.
 
@@ -122,7 +129,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe(vocabulary, pattern)
+        bpe = byte_bpe(vocabulary, pattern)
         for batch in batches:
             ids = [bpe.encode(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.large_binary()), pa.array(map(bpe.decode, ids), pa.large_binary())], names=["key", "ids", "decoded"])

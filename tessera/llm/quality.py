@@ -38,7 +38,7 @@ def _hash(feature: str) -> int:
 def _shape(word: str) -> str:
     """Runs of upper-case letters, lower-case letters, digits and each other sign, as one sign each."""
     out = ""
-    for c in word[:24]:
+    for c in word:
         s = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
         if not out.endswith(s):
             out += s
@@ -158,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """A model from labelled rows of `docs` that are not held out; `labels` has `key` and the integer grade `label`.
 
     At most `sample` keys are used, the same number of each grade where there are as many, the first by a hash of the
-    key; so what is sent around, and the one task that fits the model, are bounded. Null keys and grades teach nothing.
+    key, and of rows of one key the smallest text; so what is sent around, and the one task that fits the model, are bounded. Null keys and grades teach nothing.
     With less than two grades every text gets that grade (or 0). All grades are learnt; more than `GRADES` are an error.
     """
     marks = labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y")).where(F.col("_k").isNotNull() & F.col("_y").isNotNull() & ~held_out(F.col("_k"))).distinct()
@@ -171,7 +171,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     for g in grades:
         part = marks.where(F.col("_y") == g).orderBy(F.xxhash64("_k"), "_k").limit(sample // len(grades))
         chosen = part if chosen is None else chosen.unionByName(part)
-    known = docs.select(F.col(key).alias("_key"), text_or_empty(text).alias("_text")).join(F.broadcast(chosen), F.col("_key") == F.col("_k")).select("_text", "_y")
+    rows = docs.select(F.col(key).alias("_key"), text_or_empty(text).alias("_text"))
+    known = rows.join(F.broadcast(chosen), F.col("_key") == F.col("_k")).groupBy("_k", "_y").agg(F.min("_text").alias("_text")).select("_text", "_y")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import file_system, shared_dir, stage
 
-#: Virtual slots, and parts of each in which its rows are numbered: fixed bounds, whatever the input.
+#: Virtual slots, and parts that a slot of average size has, in which its rows are numbered: fixed, whatever the input.
 SLOTS, PARTS = 6144, 8
 
 
@@ -108,27 +108,35 @@ def shard(docs: DataFrame, n_shards: int = 24, key: str = "doc_id", text: str =
     size is the text's bytes in UTF-8 plus 8; a null text has none, and its crc32 is 0. The hash is over `key` and the
     text's crc32, so rows that share a null or repeated key are spread. The map given, or the first one, is rebalanced
     by bytes, so sizes of shards come out near equal; both versions are stored in `folder` (by default a new shared
-    one). Equal rows are in one virtual slot and numbered in any order. Other columns are not read. An empty table
+    one). Equal rows are in one virtual slot, but dealt to its parts one by one, and numbered in any order. Other columns are not read. An empty table
     gives an empty result and a map that nothing moved in.
     """
     text_col = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.col(key).alias("key"), (F.octet_length(text_col) + F.lit(8)).cast("long").alias("size"), F.crc32(text_col.cast("binary")).alias("text_crc32"))
-    spot = F.xxhash64("key", "text_crc32")
+    size = (F.octet_length(text_col) + F.lit(8)).cast("long")
+    rows = docs.select(F.col(key).alias("key"), size.alias("size"), F.crc32(text_col.cast("binary")).alias("text_crc32"))
     n_slots = len(slots.shards) if slots else SLOTS
-    rows = stage(rows.withColumns({"virtual": F.pmod(spot, F.lit(n_slots)).cast("int"), "part": F.pmod(F.xxhash64(spot, "size"), F.lit(PARTS)).cast("int")}), "records")
+    virtual = F.pmod(F.xxhash64("key", "text_crc32"), F.lit(n_slots)).cast("int")
+    rows = stage(rows.select("*", virtual.alias("virtual"), F.xxhash64(F.monotonically_increasing_id()).alias("spread")), "records")
 
-    sums = rows.groupBy("virtual", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).toPandas()  # n_slots * PARTS rows at most
-    by_slot = np.bincount(sums.virtual.to_numpy(int), weights=sums.bytes.to_numpy(float), minlength=n_slots) if len(sums) else np.zeros(n_slots)
     first = slots or SlotMap.initial(n_shards, n_slots)
+    sums = rows.groupBy("virtual").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).toPandas()  # n_slots rows at most
+    by_slot = np.bincount(sums.virtual.to_numpy(int), weights=sums.bytes.to_numpy(float), minlength=n_slots) if len(sums) else np.zeros(n_slots)
     final = first.rebalanced(by_slot)
     folder = folder or shared_dir(docs.sparkSession, "slots")
     first.write(folder)
     final.write(folder)
 
-    sums["shard"] = np.array(final.shards, int)[sums.virtual.to_numpy(int)]
-    sums = sums.sort_values(["shard", "virtual", "part"])
-    sums["before"] = sums.groupby("shard").n.cumsum() - sums.n
-    offsets = docs.sparkSession.createDataFrame([tuple(map(int, r)) for r in sums[["virtual", "part", "shard", "before"]].itertuples(index=False)], "virtual int, part int, shard int, before bigint")
+    # A slot has as many parts as it has shares of the rows, so that one with many equal rows is numbered by many tasks.
+    share = max(1, int(sums.n.sum()) // (n_slots * PARTS))
+    spark = docs.sparkSession
+    parts = spark.createDataFrame([(int(v), -(-int(n) // share)) for v, n in zip(sums.virtual, sums.n, strict=True)], "virtual int, parts int")
+    rows = rows.join(F.broadcast(parts), "virtual").withColumn("part", F.pmod("spread", "parts").cast("int"))
+    counts = rows.groupBy("virtual", "part").agg(F.count("*").alias("n")).toPandas()  # n_slots * (PARTS + 1) rows at most
+    counts["shard"] = np.array(final.shards, int)[counts.virtual.to_numpy(int)]
+    counts = counts.sort_values(["shard", "virtual", "part"])
+    counts["before"] = counts.groupby("shard").n.cumsum() - counts.n
+    found = [tuple(map(int, r)) for r in counts[["virtual", "part", "shard", "before"]].itertuples(index=False)]
+    offsets = spark.createDataFrame(found, "virtual int, part int, shard int, before bigint")
     placed = rows.join(F.broadcast(offsets), ["virtual", "part"])
     order = "row_number() over (partition by virtual, part order by key, text_crc32, size)"
     return placed.select(F.col("key").alias(key), "size", "text_crc32", "virtual", "shard", (F.col("before") + F.expr(order) - 1).alias("slot"))

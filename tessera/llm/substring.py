@@ -30,6 +30,8 @@ from .common import joined, mix64, run_hashes, stage, utf8, word_hashes, words_o
 
 #: A perfect difference set modulo 21: the differences of its members are all residues.
 PERIOD, COVER = 21, (0, 1, 6, 8, 18)
+#: Bytes of text for each bucket of hashes, so that a bucket's hashes, a third of that or less, fit in a task.
+BUCKET_BYTES = 128 << 20
 
 
 class _Block:
@@ -147,8 +149,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, key: str = "doc_id", text:
 
     Words are runs of bytes other than 0x20 and 0x09-0x0D. Each word goes that a window covers whose word sequence
     also starts anywhere else, in the same text or another; windows are judged on the input. Kept words are joined by
-    one space; with `untouched`, texts that lose nothing come back as they were. A null or empty text has no words and gives an empty string; so does a text whose words all go. Rows are
-    told apart by where they were staged, so repeated and null keys are rows of their own, and two equal rows of at
+    one space; with `untouched`, texts that lose nothing come back as they were. A null or empty text has no words and
+    gives an empty string; so does a text whose words all go. Rows are told apart by where they were staged, so repeated and null keys are rows of their own, and two equal rows of at
     least `window` words remove each other. Columns other than `key` and `text` are not read. An empty table gives an
     empty result.
     """
@@ -157,9 +159,10 @@ def remove_repeats(docs: DataFrame, window: int = 35, key: str = "doc_id", text:
     if not period <= window:
         raise ValueError("period must not exceed window")
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema[key].dataType
     blocks = stage_blocks(docs, key, text)
+    size = blocks.agg(F.sum("bytes")).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
 
     def posts(hashes: Callable[[pa.RecordBatch, int], _Post]) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,6 +24,7 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,8 +115,23 @@ class Codes:
         return self.ids(int(self.starts[k]), int(self.starts[k + 1]))
 
 
+def _words_end_at_spaces(file: dict) -> bool:
+    """Whether a tokenizers file is of the kind that `WordEncoder` can take apart: lower-case words, each with an end mark."""
+
+    def kinds(part: dict | None) -> set[str]:
+        if part is None:
+            return set()
+        inner = [x for k in ("normalizers", "pretokenizers") for x in part.get(k, ())]
+        return {part["type"]}.union(*map(kinds, inner))
+
+    normal, model = kinds(file.get("normalizer")), file["model"]
+    plain = normal <= {"Sequence", "NFC", "NFKC", "Lowercase", "Replace"} and "Lowercase" in normal
+    plain = plain and kinds(file.get("pre_tokenizer")) <= {"Sequence", "Split", "ByteLevel"}
+    return plain and model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout")
+
+
 class WordEncoder:
-    """Encodes with a tokenizers file whose words end at white space, keeping the ids of words it has seen.
+    """Encodes with a tokenizers file, keeping the ids of words it has seen where its words end at white space.
 
     Words of letters, and such words with ASCII punctuation after them, are one and two pre-tokens; new ones are encoded
     together, and told apart by the pieces that end a word. All else goes through the library as a whole.
@@ -129,6 +145,7 @@ class WordEncoder:
         # For lower-case ASCII letters the file's normaliser and byte mapping change nothing, and words end at spaces.
         self.ascii = Tokenizer.from_file(path)
         self.ascii.normalizer, self.ascii.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        self.by_words = _words_end_at_spaces(json.loads(self.tokenizer.to_str()))
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -188,6 +205,10 @@ class WordEncoder:
 
         Splitting at ASCII white space is safe: no pre-token, and no special string, spans it.
         """
+        if not self.by_words:
+            for text in texts.to_pylist():
+                yield np.frombuffer(self._whole(text), "<u4")
+            return
         for at in range(0, len(texts), step):
             lists = pc.ascii_split_whitespace(texts.slice(at, step).cast(pa.large_string()))
             coded = lists.flatten().dictionary_encode()
@@ -224,7 +245,9 @@ def write(docs: DataFrame, encoder: Callable[[], Callable[[pa.Array], Iterator[n
     folder = folder or shared_dir(spark, "token-codes")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("long").alias("key"), text_or_empty(text).alias("text"))
-    rows = rows.repartitionByRange(parts, F.asc_nulls_first("key")).sortWithinPartitions(F.asc_nulls_first("key"), "text")
+    # By the text's beginning after the key, so that rows of one key may go to several tasks.
+    ranges = rows.repartitionByRange(parts, F.asc_nulls_first("key"), F.substring("text", 1, 32))
+    rows = ranges.sortWithinPartitions(F.asc_nulls_first("key"), "text")
     end = np.uint32(end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +263,7 @@ def write(docs: DataFrame, encoder: Callable[[], Callable[[pa.Array], Iterator[n
             data = pack(keys, ids)
             with system.open_output_stream(f"{base}/{temporary}") as f:
                 f.write(data)
-            made.append((temporary, keys[0], len(keys), sum(map(len, ids)), len(data)))
+            made.append((temporary, TaskContext.get().partitionId(), len(keys), sum(map(len, ids)), len(data)))
             keys.clear()
             ids.clear()
 
@@ -256,11 +279,11 @@ def write(docs: DataFrame, encoder: Callable[[], Callable[[pa.Array], Iterator[n
         if keys:
             close()
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], t) for i, t in enumerate(kinds)] + [pa.array(range(len(made)), pa.int64())], names=["temporary", "first", "documents", "ids", "bytes", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], t) for i, t in enumerate(kinds)] + [pa.array(range(len(made)), pa.int64())], names=["temporary", "task", "documents", "ids", "bytes", "n"])
 
-    made = stage(rows.mapInArrow(run, "temporary string, first bigint, documents bigint, ids bigint, bytes bigint, n bigint"), "manifest")
-    # One row for a file of millions of ids. Files of one key are from one task, and in its order.
-    order = "over (order by first nulls first, n rows between unbounded preceding and current row)"
+    made = stage(rows.mapInArrow(run, "temporary string, task bigint, documents bigint, ids bigint, bytes bigint, n bigint"), "manifest")
+    # One row for a file of millions of ids. Tasks are in the order of their ranges, files in that of their task.
+    order = "over (order by task, n rows between unbounded preceding and current row)"
     manifest = made.select("*", F.expr(f"sum(ids) {order} - ids").alias("base"), F.expr(f"row_number() {order} - 1").alias("k"))
     manifest = stage(manifest.select("temporary", F.format_string("part-%08d.codes", "k").alias("name"), "documents", "ids", "base", "bytes"), "manifest")
     commit_files(manifest, folder)

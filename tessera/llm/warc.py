@@ -15,7 +15,9 @@ import base64
 import hashlib
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -37,13 +39,16 @@ CELLS = 4096
 VERSION, DATE, PROFILE = "WARC/1.1", "2000-01-01T00:00:00Z", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def record(kind: str, key: int | None, url: str | None, digest: str, size: int, payload: bytes, refers: tuple[int | None, str | None] | None) -> bytes:
-    """One record as a gzip member. A revisit has the HTTP head of its response, without a body."""
+def record(kind: str, key: int | None, again: int, url: str | None, digest: str, size: int, payload: bytes, refers: tuple[int | None, str | None] | None) -> bytes:
+    """One record as a gzip member. A revisit has the HTTP head of its response, without a body.
+
+    `again` counts the records of the same key before it and makes its id another one.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http + (payload if kind == "response" else b"")
     head = {
         "WARC-Type": kind,
-        "WARC-Record-ID": f"<urn:x-page:{'null' if key is None else key}>",
+        "WARC-Record-ID": f"<urn:x-page:{'null' if key is None else key}{f':{again}' if again else ''}>",
         "WARC-Date": DATE,
         "WARC-Target-URI": _plain(url),
         "WARC-Payload-Digest": "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode(),
@@ -52,11 +57,22 @@ def record(kind: str, key: int | None, url: str | None, digest: str, size: int,
     if refers is not None:
         head |= {"WARC-Refers-To": f"<urn:x-page:{'null' if refers[0] is None else refers[0]}>", "WARC-Refers-To-Target-URI": _plain(refers[1]), "WARC-Profile": PROFILE}
     head |= {"Content-Type": "application/http; msgtype=response", "Content-Length": str(len(block))}
+    return _member(head, block)
+
+
+def _member(head: dict[str, str], block: bytes) -> bytes:
     lines = "".join(f"{k}: {v}\r\n" for k, v in head.items() if v != "")
     member = zlib.compressobj(6, zlib.DEFLATED, 31)
     return member.compress(f"{VERSION}\r\n{lines}\r\n".encode() + block + b"\r\n\r\n") + member.flush()
 
 
+def file_info(name: str) -> bytes:
+    """The record at the head of the file `name`, which says what wrote it."""
+    block = b"software: tessera\r\nformat: WARC File Format 1.1\r\n"
+    head = {"WARC-Type": "warcinfo", "WARC-Record-ID": f"<urn:x-file:{name}>", "WARC-Date": DATE, "WARC-Filename": name}
+    return _member(head | {"Content-Type": "application/warc-fields", "Content-Length": str(len(block))}, block)
+
+
 def _plain(url: str | None) -> str:
     """A URL on one line."""
     return "".join(f"%{b:02X}" if b < 0x21 or b == 0x7F else chr(b) for b in (url or "").encode()).encode("latin-1").decode()
@@ -77,32 +93,45 @@ def parse(stream, step: int = 1 << 20) -> Iterator[tuple[dict[str, str], bytes]]
 
 
 def _key_of(uri: str) -> int | None:
-    part = uri.strip("<>").rpartition(":")[2]
+    part = uri.strip("<>").removeprefix("urn:x-page:").partition(":")[0]
     return None if part == "null" else int(part)
 
 
 def _borders(sizes: DataFrame, shard_bytes: int | None) -> list[int]:
-    """Keys at which a new shard begins, from exact byte counts by range: a function of the rows alone."""
+    """Keys at which a new shard begins, from exact byte counts by range: a function of the rows alone.
+
+    Ranges that are too full for a shard are cut again, all of a level in one job, into a number of cells that goes with
+    their bytes; so the driver gets a few counts for each shard and level.
+    """
     low, high, total = sizes.agg(F.min("key"), F.max("key"), F.sum("payload_bytes")).first()
     if low is None:
         return []
+    spark = sizes.sparkSession
     shard_bytes = shard_bytes or min(max(SHARD_BYTES[0], int((int(total) << 20) ** 0.5)), SHARD_BYTES[1])
     shards = max(1, -(-int(total) // shard_bytes))
-    ranges, borders = [(int(low), int(high))], []
-    cells: list[tuple[int, int, int]] = []
-    while ranges:  # a range too full for a shard is counted again in finer steps
-        now, ranges = ranges, []
-        for a, b in now:
-            width = max(1, -(-(b - a + 1) // CELLS))
-            cell = F.floor((F.col("key") - F.lit(a)) / F.lit(width)).cast("long") if width > 1 else F.col("key") - F.lit(a)
-            for k, n in sorted(map(tuple, sizes.where(F.col("key").between(a, b)).groupBy(cell.alias("cell")).agg(F.sum("payload_bytes")).collect())):
-                first, last = a + k * width, min(b, a + (k + 1) * width - 1)
-                if n > shard_bytes and last > first:
-                    ranges.append((first, last))
-                else:
-                    cells.append((first, last, int(n)))
-    filled, share = 0, total / shards
-    for first, _, n in sorted(cells):
+    cells: list[tuple[int, int]] = []
+    level = sizes.where("key is not null").select(F.col("key").cast("decimal(20,0)").alias("key"), "payload_bytes", F.lit(0).cast("long").alias("cell"))
+    ranges = [(0, int(low), int(high), CELLS)]  # cell of the level before, first and last key, cells to cut it into
+    while ranges:
+        steps, base = [], 0
+        for cell, first, last, n in ranges:
+            width = -(-(last - first + 1) // n)
+            steps.append((cell, first, last, width, base))
+            base += n
+        rows = [(cell, Decimal(first), Decimal(width), at) for cell, first, _, width, at in steps]
+        table = spark.createDataFrame(rows, "cell bigint, first decimal(20,0), width decimal(20,0), base bigint")
+        level = level.join(F.broadcast(table), "cell").select("key", "payload_bytes", F.expr("base + (key - first) div width").alias("cell"))
+        bases, ranges = [s[4] for s in steps], []
+        for cell, n in level.groupBy("cell").agg(F.sum("payload_bytes")).collect():
+            _, start, end, width, at = steps[bisect_right(bases, cell) - 1]
+            first = start + (cell - at) * width
+            last = min(end, first + width - 1)
+            if n > shard_bytes and last > first:
+                ranges.append((cell, first, last, 8 * -(-int(n) // shard_bytes)))
+            else:
+                cells.append((first, int(n)))
+    borders, filled, share = [], 0, total / shards
+    for first, n in sorted(cells):
         if filled and filled + n > share * 1.05:
             borders.append(first)
             filled = 0
@@ -116,8 +145,9 @@ def write(pages: DataFrame, folder: str | None = None, key: str = "page_id", url
     The payload is the text in UTF-8; a null one is empty. Of equal payloads of at least `revisit_bytes` bytes the one
     with the largest `key` is the response, the others are revisits of it; if rows of that key repeat, each of them is
     a response. Null keys come first, are written as 'null', and count as smaller than all others: if all keys of a
-    payload are null, all its records are responses. A null url leaves its header out. Other columns are not read. An
-    empty table gives no files.
+    payload are null, all its records are responses. Ids of records are the keys, and of later records of one key the key
+    and a number; revisits refer to the first. A null url leaves its header out. Other columns are not read. An empty
+    table gives no files. Each file begins with a warcinfo record, which the manifest does not count.
     """
     spark = pages.sparkSession
     folder = folder or shared_dir(spark, "warc")
@@ -145,13 +175,14 @@ def write(pages: DataFrame, folder: str | None = None, key: str = "page_id", url
         system, base = file_system(folder)
         made: list[tuple] = []
         out, at, n, number, shard_now = None, 0, 0, 0, None
-        temporary, mark = "", (None, None, None, None)
+        name, temporary, mark = "", "", (None, None, None, None)
+        key_now, again = object(), 0
 
         def close() -> None:
             nonlocal out
             if out is not None:
                 out.close()
-                made.append((temporary, f"part-{shard_now:06d}-{number:05d}.warc.gz", n, at))
+                made.append((temporary, name, n, at))
                 out = None
 
         for batch in batches:
@@ -162,11 +193,15 @@ def write(pages: DataFrame, folder: str | None = None, key: str = "page_id", url
                 if out is None or shard_id != shard_now or at >= file_bytes:
                     close()
                     number = number + 1 if shard_id == shard_now else 0
-                    shard_now, at, n, temporary = shard_id, 0, 0, f"_tmp/{uuid.uuid4().hex}.warc.gz"
+                    shard_now, n, temporary = shard_id, 0, f"_tmp/{uuid.uuid4().hex}.warc.gz"
+                    name = f"part-{shard_now:06d}-{number:05d}.warc.gz"
                     system.create_dir(f"{base}/_tmp", recursive=True)
                     out = system.open_output_stream(f"{base}/{temporary}", compression=None)
-                again = mark[:2] == (k, digest)
-                data = record("revisit" if again else "response", k, u, digest, size, text.encode(), mark[2:] if again else None)
+                    out.write(head := file_info(name))
+                    at = len(head)
+                key_now, again = k, again + 1 if k == key_now else 0
+                marked = mark[:2] == (k, digest)
+                data = record("revisit" if marked else "response", k, again, u, digest, size, text.encode(), mark[2:] if marked else None)
                 out.write(data)
                 at, n = at + len(data), n + 1
         close()
@@ -202,6 +237,8 @@ def read(manifest: DataFrame, payloads: bool = True) -> DataFrame:
                 held = 0
                 with system.open_input_stream(f"{base}/{name}", compression=None) as stream:
                     for fields, block in parse(stream):
+                        if fields["WARC-Type"] == "warcinfo":
+                            continue
                         head, _, body = block.partition(b"\r\n\r\n")
                         size = int(next(x for x in head.split(b"\r\n") if x.startswith(b"Content-Length: "))[16:])
                         digest = base64.b32decode(fields["WARC-Payload-Digest"][5:]).hex()
