@@ -1,11 +1,14 @@
 """Exact top-k by integer inner product: a KD-tree for each shard, searched best first.
 
-Shards hold a bounded number of vectors. Each builds a tree by median splits of the widest component, with tight boxes.
-The inner product of a query with anything in a box is at most the sum of the larger of q*low and q*high over the
-components; nodes are visited in the order of that bound until it falls below the kth score found so far. A query is
-searched in one shard first; its kth score there goes along to all others.
-
-Queries travel in blocks of bounded size, so a shard meets a block as one row. Equal scores go to the smaller id.
+1. Vectors are dealt to shards by space: median splits of a bounded sample (SAMPLE) say where; each vector is dealt. A
+   shard that would hold more than SHARD vectors, of equal ones for instance, is cut by a hash.
+2. Each shard's tree is built once and stored: median splits of the widest component, with tight boxes.
+3. The inner product of a query with anything in a box is at most the sum of the larger of q*low and q*high over the
+   components. A query is searched first in the shard whose box has the largest bound; its kth score there goes along to
+   the others, and shards whose bound is below it are not searched.
+4. In a tree nodes are visited in the order of their bounds until these fall below the kth score.
+
+Queries travel to a shard in blocks of bounded size. Equal scores go to the smaller id.
 """
 
 from __future__ import annotations
@@ -21,8 +24,10 @@ from pyspark.sql import functions as F
 
 from .common import stage
 
-#: Vectors in a shard, queries in a block, vectors in a leaf.
-SHARD, BLOCK, LEAF = 16_384, 1_024, 64
+#: Vectors in a shard, queries in a block, vectors in a leaf, boxes of shards that are compared with a block at a time.
+SHARD, BLOCK, LEAF, BOXES = 16_384, 1_024, 64, 1_024
+#: Vectors of each length that the shards' borders are found on, and shards that they tell apart at most.
+SAMPLE, SPACES = 8_192, 512
 _LAST = np.iinfo(np.int64).max
 
 
@@ -32,27 +37,45 @@ class KdTree:
     def __init__(self, vectors: np.ndarray, leaf: int = LEAF):
         n = len(vectors)
         self.order = np.arange(n)
-        self.low, self.high, self.spans, self.children = [], [], [], []
+        low_high, spans, children = [], [], []
         work = [(0, n, -1)]
         while work:
             start, end, parent = work.pop()
             mine = self.order[start:end]
             rows = vectors[mine]
             low, high = rows.min(axis=0), rows.max(axis=0)
-            node = len(self.spans)
-            self.low.append(low)
-            self.high.append(high)
-            self.spans.append((start, end))
-            self.children.append([])
+            node = len(spans)
+            low_high.append((low, high))
+            spans.append((start, end))
+            children.append([-1, -1])
             if parent >= 0:
-                self.children[parent].append(node)
+                children[parent][children[parent][0] >= 0] = node
             wide = int(np.argmax(high - low))
             if end - start > leaf and high[wide] > low[wide]:  # else all are equal, and any box is tight
                 half = (end - start) // 2
                 self.order[start:end] = mine[np.argpartition(rows[:, wide].astype(float), half)]
                 work += [(start, start + half, node), (start + half, end, node)]
         self.vectors = vectors[self.order]
-        self.low, self.high = np.array(self.low), np.array(self.high)
+        self.low, self.high = (np.array([b[k] for b in low_high]) for k in (0, 1))
+        self.spans, self.children = np.array(spans, np.int64), np.array(children, np.int64)
+
+    def stored(self) -> dict[str, bytes]:
+        """The tree as bytes, for vectors in float64."""
+        return {
+            "vectors": self.vectors.astype("<f8").tobytes(),
+            "boxes": np.concatenate([self.low, self.high]).astype("<f8").tobytes(),
+            "shape": np.concatenate([self.spans, self.children]).astype("<i8").tobytes(),
+        }
+
+    @staticmethod
+    def restored(dim: int, vectors: bytes, boxes: bytes, shape: bytes, whole: bool) -> KdTree:
+        """A stored tree; `whole`: with Python integers. `order` is the order of the stored vectors."""
+        tree = KdTree.__new__(KdTree)
+        tree.vectors = _whole(_matrix(vectors, dim)) if whole else _matrix(vectors, dim)
+        tree.low, tree.high = (_whole(x) if whole else x for x in np.split(_matrix(boxes, dim), 2))
+        tree.spans, tree.children = np.split(np.frombuffer(shape, "<i8").reshape(-1, 2), 2)
+        tree.order = np.arange(len(tree.vectors))
+        return tree
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """The largest inner product of each query with each node's box."""
@@ -70,7 +93,7 @@ class KdTree:
             floor = best[0][0] if len(best) == k else least
             if floor is not None and -bound < floor:
                 break
-            if self.children[node]:
+            if self.children[node][0] >= 0:
                 for c in self.children[node]:
                     heapq.heappush(heap, (-bounds[c], c))
                 continue
@@ -99,11 +122,50 @@ def _matrix(binary: bytes, dim: int) -> np.ndarray:
     return np.frombuffer(binary, "<f8").reshape(-1, dim)
 
 
-def _exact(vectors: np.ndarray) -> np.ndarray:
-    """As they are if no sum of products can reach 2^53; otherwise as Python integers."""
-    if not vectors.size or vectors.shape[1] * float(np.abs(vectors).max()) ** 2 < 2**52:
-        return vectors
-    return np.array([[int(x) for x in row] for row in vectors], object)
+def _whole(vectors: np.ndarray) -> np.ndarray:
+    """As Python integers, whose products do not round."""
+    return np.array([[int(x) for x in row] for row in vectors], object).reshape(vectors.shape)
+
+
+def _rounds(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether sums of products of rows might reach what float64 cannot hold."""
+    return bool(a.size and b.size and a.shape[1] * float(np.abs(a).max()) * float(np.abs(b).max()) >= 2**52)
+
+
+def _borders(sample: np.ndarray, leaves: int) -> tuple | int:
+    """Nested median splits (component, value, below, from there on) with about `leaves` ends, which are 0."""
+    spread = sample.max(axis=0) - sample.min(axis=0) if len(sample) > 1 else np.zeros(1)
+    if leaves < 2 or not spread.max() > 0:
+        return 0
+    wide = int(spread.argmax())
+    value = float(np.median(sample[:, wide]))
+    below = sample[:, wide] < value
+    if not below.any():
+        value = float(sample[:, wide][sample[:, wide] > value].min())
+        below = sample[:, wide] < value
+    return wide, value, _borders(sample[below], leaves // 2), _borders(sample[~below], leaves - leaves // 2)
+
+
+def _spaces(tree: tuple | int, vectors: np.ndarray) -> np.ndarray:
+    """The number of the end of the splits that each vector comes to."""
+    out = np.zeros(len(vectors), np.int64)
+    work = [(tree, np.arange(len(vectors)), 1)]
+    while work:
+        node, rows, number = work.pop()
+        if not node or not len(rows):
+            out[rows] = number
+            continue
+        wide, value, left, right = node
+        below = vectors[rows, wide] < value
+        work += [(left, rows[below], 2 * number), (right, rows[~below], 2 * number + 1)]
+    return out
+
+
+def _bounds(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """At least the largest inner product of each query with anything in each box, whatever float64 rounds."""
+    up, down = np.maximum(queries, 0), np.minimum(queries, 0)
+    slack = np.abs(queries) @ np.maximum(np.abs(low), np.abs(high)).T
+    return up @ high.T + down @ low.T + 1e-12 * slack
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -121,82 +183,103 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     rows = rows.select("id", "q", F.size("v").alias("dim"), F.transform("v", lambda x: F.rint(F.floor(x * F.lit(float(scale)).cast("double")).cast("double"))).alias("v"))
     rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
 
-    counts = {r.dim: (r.n, r.q) for r in rows.groupBy("dim").agg(F.count("*").alias("n"), F.sum(F.col("q").cast("int")).alias("q")).collect()}
-    pick = lambda name, per, which: F.create_map([F.lit(x) for d, c in counts.items() for x in (d, max(1, -(-c[which] // per)))] or [F.lit(0), F.lit(1)])[F.col(name)]
-    rows = rows.withColumn("shards", pick("dim", SHARD, 0)).withColumn("shard", F.pmod(F.xxhash64("row"), F.col("shards")).cast("int"))
-
-    def packed(table: pa.Table) -> pa.Table:
-        v = np.concatenate([np.asarray(c.values) for c in table.column("v").chunks]) if table.num_rows else np.zeros(0)
-        ids = table.column("id").fill_null(_LAST).to_numpy()
-        return pa.table({"dim": table.column("dim")[:1].cast(pa.int32()), "part": table.column("part")[:1].cast(pa.int32()), "data": pa.array([v.astype("<f8").tobytes()], pa.binary()), "ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()), "rows": pa.array([table.column("row").to_numpy().astype("<i8").tobytes()], pa.binary()), "shards": table.column("shards")[:1].cast(pa.int32())})
+    counts = {r.dim: r.n for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    borders: dict[int, tuple | int] = {}
+    for dim, n in counts.items():
+        if n > SHARD:
+            sample = rows.where(F.col("dim") == dim).orderBy(F.xxhash64("row")).limit(SAMPLE).select("v").collect()
+            borders[dim] = _borders(np.array([r.v for r in sample]), min(SPACES, -(-n // SHARD)))
+
+    @F.pandas_udf("long")
+    def space(dims: pd.Series, vs: pd.Series) -> pd.Series:
+        out = np.ones(len(dims), np.int64)
+        for dim in set(dims) & set(borders):
+            mine = np.flatnonzero(dims.to_numpy() == dim)
+            out[mine] = _spaces(borders[dim], np.stack(vs.iloc[mine].to_list()))
+        return pd.Series(out)
 
-    kind = "dim int, part int, data binary, ids binary, rows binary, shards int"
-    columns = ["dim", "part", "v", F.col("id").cast("long").alias("id"), "row", "shards"]
-    shards = stage(rows.withColumn("part", F.col("shard")).select(columns).groupBy("dim", "part").applyInArrow(packed, kind), "shards")
-    asked = rows.where("q").withColumn("part", F.pmod(F.xxhash64("row", F.lit(7)), pick("dim", BLOCK, 1)).cast("int"))
-    blocks = stage(asked.select(columns).groupBy("dim", "part").applyInArrow(packed, kind), "queries")
+    rows = rows.withColumn("space", space("dim", "v")) if borders else rows.withColumn("space", F.lit(1).cast("long"))
+    sizes = stage(rows.groupBy("dim", "space").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("cuts")), "sizes")
+    dealt = rows.join(F.broadcast(sizes), ["dim", "space"]).withColumn("cut", F.pmod(F.xxhash64("row"), "cuts").cast("int"))  # SPACES rows a length
+
+    def built(table: pa.Table) -> pa.Table:
+        dim = table.column("dim")[0].as_py()
+        tree = KdTree(np.concatenate([np.asarray(c.flatten()) for c in table.column("v").chunks]).reshape(-1, dim))
+        names, places = (table.column(c).fill_null(_LAST).to_numpy()[tree.order].astype("<i8").tobytes() for c in ("id", "row"))
+        binary = {"ids": names, "rows": places, "root": np.stack([tree.low[0], tree.high[0]]).astype("<f8").tobytes()} | tree.stored()
+        one = {c: table.column(c)[:1] for c in ("dim", "space", "cut")} | {c: pa.array([x], pa.binary()) for c, x in binary.items()}
+        return pa.table(one)
+
+    kind = "dim int, space bigint, cut int, ids binary, rows binary, root binary, vectors binary, boxes binary, shape binary"
+    columns = ["dim", "space", "cut", "v", F.col("id").cast("long").alias("id"), "row"]
+    trees = stage(dealt.select(columns).groupBy("dim", "space", "cut").applyInArrow(built, kind), "trees")
+
+    # Boxes in tables of bounded size meet blocks of the stated queries: (queries / BLOCK) * (shards / BOXES) rows.
+    part = F.struct("space", "cut", "root")
+    boxes = trees.select("dim", part.alias("box"), (F.floor(F.monotonically_increasing_id() / BOXES)).alias("t")).groupBy("dim", "t").agg(F.collect_list("box").alias("b"))
+    asked = rows.where("q").select("dim", "v", F.col("id").cast("long").alias("id"), "row")
+    asked = stage(asked.withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK)), "queries")
+    blocks = asked.groupBy("dim", "block").agg(F.collect_list(F.struct("row", "id", "v")).alias("q"))
+
+    def bounded(floors: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for dim, queries, table in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                    q, b = queries.values, table.values
+                    matrix = q.field("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                    roots = np.stack([_matrix(x, dim) for x in b.field("root").to_pylist()])
+                    bound = _bounds(matrix, roots[:, 0], roots[:, 1])
+                    if floors:  # all shards but the first one that may hold a score as good as the kth
+                        least = q.field("floor").to_numpy(zero_copy_only=False)
+                        home = [b.field(c).to_numpy()[None, :] == q.field("h" + c).to_numpy(zero_copy_only=False)[:, None] for c in ("space", "cut")]
+                        x, y = np.nonzero((bound >= least[:, None]) & ~(home[0] & home[1]))
+                    else:
+                        x, y = np.arange(len(matrix)), bound.argmax(axis=1)
+                    picked = [q.field("row").take(pa.array(x)), b.field("space").take(pa.array(y)), b.field("cut").take(pa.array(y))]
+                    yield pa.RecordBatch.from_arrays([*picked, pa.array(bound[x, y])], names=["query_row", "space", "cut", "bound"])
+
+        return run
+
+    place = "query_row bigint, space bigint, cut int, bound double"
+    met = lambda b, floors: b.join(boxes, "dim").select("dim", "q", "b").mapInArrow(bounded(floors), place)
+    home = met(blocks, False).groupBy("query_row").agg(F.max(F.struct("bound", "space", "cut")).alias("h")).select("query_row", "h.space", "h.cut")
+    home = stage(home.withColumn("floor", F.lit(None).cast("double")), "home")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for dim, data, ids, row_ids, qdata, qids, qrows, floors, mine in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                queries = _exact(_matrix(qdata, dim))
-                base = _exact(_matrix(data, dim))
-                if len(queries) and len(base) and dim * float(abs(base).max()) * float(abs(queries).max()) >= 2**52:
-                    base, queries = (np.array([[int(x) for x in r] for r in m], object) for m in (base, queries))
-                tree = KdTree(base)
-                names, places = np.frombuffer(ids, "<i8"), np.frombuffer(row_ids, "<i8")
-                at = {r: i for i, r in enumerate(places.tolist())}
-                ordered = names[tree.order]
-                least = np.frombuffer(floors, "<i8") if floors else None
-                chosen = np.frombuffer(mine, np.uint8).astype(bool)
+            for i, dim in enumerate(batch.column(0).to_pylist()):
+                q, stored = batch.column(1)[i].values, [batch.column(c)[i].as_py() for c in range(2, 7)]
+                names, places = (np.frombuffer(x, "<i8") for x in stored[:2])
+                queries = q.field("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                whole = _rounds(queries, _matrix(stored[3], dim))
+                tree = KdTree.restored(dim, *stored[2:], whole)
+                queries = _whole(queries) if whole else queries
+                at, bounds = {r: i for i, r in enumerate(places.tolist())}, tree.bounds(queries)
                 out: list[list] = [[], [], [], []]
-                bounds = tree.bounds(queries)
-                for q, (row, name) in enumerate(zip(np.frombuffer(qrows, "<i8").tolist(), np.frombuffer(qids, "<i8").tolist(), strict=True)):
-                    if chosen[q]:
-                        floor = None if least is None or least[q] == -_LAST else int(least[q])
-                        for score, i in tree.search(queries[q], bounds[q], k, ordered, at.get(row, -1), floor):
-                            for o, x in zip(out, (row, name, int(names[i]), score), strict=True):
-                                o.append(x)
+                facts = zip(q.field("row").to_pylist(), q.field("id").to_pylist(), q.field("floor").to_pylist(), strict=True)
+                for j, (row, name, floor) in enumerate(facts):
+                    for score, r in tree.search(queries[j], bounds[j], k, names, at.get(row, -1), floor):
+                        for o, x in zip(out, (row, _LAST if name is None else name, int(names[r]), score), strict=True):
+                            o.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=["query_row", "query_id", "vec_id", "score"])
 
-    found_kind = "query_row bigint, query_id bigint, vec_id bigint, score bigint"
-    query = blocks.select("dim", F.col("part").alias("block"), F.col("data").alias("qdata"), F.col("ids").alias("qids"), F.col("rows").alias("qrows"), "shards")
-
-    def flagged(home: bool):
-        @F.pandas_udf("binary")
-        def flags(qrows: pd.Series, n: pd.Series, shard: pd.Series) -> pd.Series:
-            return pd.Series([((np.frombuffer(q, "<i8") % m == s) == home).astype(np.uint8).tobytes() for q, m, s in zip(qrows, n, shard)])
-
-        return flags
-
-    # A block meets a shard as one row: (queries / BLOCK) * (vectors / SHARD) rows, for the stated set of queries.
-    pairs = query.select("*", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("part"))
-    base = shards.select("dim", "part", "data", "ids", "rows")
-    ask = lambda p, home, floors: p.join(base, ["dim", "part"]).select("dim", "data", "ids", "rows", "qdata", "qids", "qrows", floors.alias("floors"), flagged(home)("qrows", "shards", "part").alias("mine")).mapInArrow(search, found_kind)
-    first = stage(ask(pairs, True, F.lit(None).cast("binary")), "first")
-
-    kth = first.groupBy("query_row").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") == k).select("query_row", "floor")
-    asked_rows = asked.select("dim", F.col("part").alias("block"), F.col("row").alias("query_row"))
-
-    def aligned(table: pa.Table) -> pa.Table:
-        rows_, floors = table.column("query_row").to_numpy(), table.column("floor").fill_null(-_LAST).to_numpy()
-        return pa.table({"dim": table.column("dim")[:1].cast(pa.int32()), "block": table.column("block")[:1].cast(pa.int32()), "frows": pa.array([rows_.astype("<i8").tobytes()], pa.binary()), "ffloors": pa.array([floors.astype("<i8").tobytes()], pa.binary())})
-
-    floors = asked_rows.join(kth, "query_row", "left").groupBy("dim", "block").applyInArrow(aligned, "dim int, block int, frows binary, ffloors binary")
-
-    @F.pandas_udf("binary")
-    def in_order(qrows: pd.Series, frows: pd.Series, ffloors: pd.Series) -> pd.Series:
-        out = []
-        for q, r, f in zip(qrows, frows, ffloors):
-            q, r, f = (np.frombuffer(x, "<i8") for x in (q, r, f))
-            by = np.argsort(r)
-            out.append(f[by][np.searchsorted(r, q, sorter=by)].tobytes())
-        return pd.Series(out)
-
-    known = stage(query.join(floors, ["dim", "block"]).withColumn("floors", in_order("qrows", "frows", "ffloors")).drop("frows", "ffloors"), "floors")
-    pairs = known.select("*", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("part"))
-    rest = ask(pairs, False, F.col("floors"))
-    every = first.unionByName(rest)
+    def ask(pairs: DataFrame) -> DataFrame:
+        """Each query's best in its shard; `pairs`: query_row, space, cut, floor (a score that is needed, or null)."""
+        full = pairs.join(asked.withColumnRenamed("row", "query_row"), "query_row")
+        one = F.struct(F.col("query_row").alias("row"), "id", "v", F.col("floor").cast("long").alias("floor"))
+        share = F.pmod(F.xxhash64("query_row"), F.ceil(F.col("n") / BLOCK)).cast("int")
+        many = pairs.groupBy("space", "cut").agg(F.count("*").alias("n"))
+        packs = full.join(many, ["space", "cut"]).groupBy("dim", "space", "cut", share.alias("share")).agg(F.collect_list(one).alias("q"))
+        held = packs.join(trees.drop("root"), ["dim", "space", "cut"]).select("dim", "q", "ids", "rows", "vectors", "boxes", "shape")
+        return held.mapInArrow(search, "query_row bigint, query_id bigint, vec_id bigint, score bigint")
+
+    first = stage(ask(home), "first")
+    kth = first.groupBy("query_row").agg(F.count("*").alias("n"), F.min("score").alias("s")).where(F.col("n") == k).select("query_row", "s")
+    known = home.drop("floor").join(kth, "query_row", "left").withColumn("floor", F.coalesce(F.col("s").cast("double"), F.lit(float("-inf"))))
+    known = stage(known.select(F.col("query_row").alias("row"), "floor", F.col("space").alias("hspace"), F.col("cut").alias("hcut"), "s"), "floors")
+    again = asked.join(known, "row").groupBy("dim", "block").agg(F.collect_list(F.struct("row", "v", "floor", "hspace", "hcut")).alias("q"))
+    more = met(again, True).select("query_row", "space", "cut").join(known.select(F.col("row").alias("query_row"), F.col("s").alias("floor")), "query_row")
+    every = first.unionByName(ask(stage(more, "more")))
     ranked = every.withColumn("rank", F.expr("cast(row_number() over (partition by query_row order by score desc, vec_id) as int)")).where(F.col("rank") <= k)
     id_of = lambda c: F.when(F.col(c) != _LAST, F.col(c))
     return ranked.select(id_of("query_id").alias("query_id"), "rank", id_of("vec_id").alias("vec_id"), "score", "query_row")
