@@ -55,3 +55,60 @@ def near(rows, width=3, share=85):
                 a, b = find(k), find(o)
                 root[max(a, b)] = min(a, b)
     return [(k, len(sets[k]), find(k), find(k) == k) for k, _ in rows]
+
+
+def contaminated(rows, items, width=8, run=13, least=5):
+    """(doc_id, text) rows, (item_id, text) items -> pairs of ids of texts that repeat an item; windows looked up in dicts."""
+    from tessera.llm.decontam import NUMBER_WORDS, UNITS
+
+    def parse(t):
+        t = re.sub(r"(?<=\d)[.,](?=\d)", "", (t or "").replace("@", " "))
+        t = re.sub(r"(\d)([^\W\d_])", r"\1 \2", t)
+        out = []
+        for m in re.finditer(r"[^\W_@]+", t):
+            w, at = m[0], m.start()
+            name = at > 1 and t[at - 1] == " " and (t[at - 2].isalnum() or t[at - 2] == ",") and w[0].isupper() and w[1:] and w[1:].islower()
+            out.append(("@" if name else "") + w.lower())
+        return out
+
+    def kinds(words):
+        return ["#" if w[0].isdigit() or w in NUMBER_WORDS else "@" if w[0] == "@" else "%" if w in UNITS and b[:1].isdigit() else w for w, b in zip(words, ["", *words], strict=False)]
+
+    def windows(words, skip, w):
+        plain = [x.lstrip("@") for x in words]
+        a, b = kinds(plain)[skip:], kinds(words)[skip:]
+        plain = plain[skip:]
+        bare = lambda ks: all(k in "#@%" for k in ks)
+        for p in range(len(plain) - w + 1):
+            yield p, ("values", *plain[p : p + w]) if bare(a[p : p + w]) else ("plain", *a[p : p + w])
+            if "@" in b[p : p + w] and not bare(b[p : p + w]):
+                yield p, ("plain", *b[p : p + w])
+
+    out, asked, texts = set(), defaultdict(set), {}
+    for i, q in items:
+        texts[i] = parse(q)
+        w = min(width, len(texts[i]))
+        for words, skip in ((texts[i], 0), (parse("1 " + (q or "")), 1)):
+            if w:
+                for p, key in windows(words, skip, w):
+                    asked[w, key].add((i, p))
+    for d, t in rows:
+        x = parse(t)
+        bare = [w.lstrip("@") for w in x]
+        lines = defaultdict(set)
+        for w in {w for w, _ in asked}:
+            if w >= least or len(x) == w:
+                for at, key in windows(x, 0, w):
+                    for i, p in asked.get((w, key), ()):
+                        lines[i, at - p].add(p)
+        places = defaultdict(set)
+        for (i, shift), hit in lines.items():
+            y = texts[i]
+            w = min(width, len(y))
+            own = [v.lstrip("@") for v in y]
+            same = {p for p in hit if own[p : p + w] == bare[p + shift : p + shift + w]}
+            slot = lambda p: {(own[p + k], bare[p + shift + k]) for k in range(w) if kinds([y[p + k]])[0] in "#@" or own[p + k] != bare[p + shift + k]}  # noqa: E731, B023
+            pairs = set().union(*(slot(p) for p in hit - same)) if w >= least else {(0, 0), (0, 1)}
+            places[i] |= hit if len({a for a, _ in pairs}) == len(pairs) else same
+        out |= {(d, i) for i, found in places.items() if len(found) >= min(len(texts[i]), run) - min(len(texts[i]), width) + 1}
+    return out

@@ -8,6 +8,8 @@ import pytest
 
 from tessera.llm import decontam
 
+from . import brute as plain
+
 ITEM = "Maria walks from London to Oxford at 5 km per hour and John rides 20 miles further, so Maria needs 3 hours while John needs 7 hours."
 ITEMS = [
     (1, ITEM),
@@ -103,7 +105,7 @@ def test_templates(spark, monkeypatch, limit):
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
     got = [(r.doc_id, r.item_id) for r in decontam.contaminated(docs, items).collect()]
     want = brute(DOCS, ITEMS)
-    assert sorted(got, key=str) == sorted(want, key=str)
+    assert sorted(got, key=str) == sorted(want, key=str) and plain.contaminated(DOCS, ITEMS) == want
     assert {(10, 1), (12, 1), (14, 2), (15, 3), (None, None), (20, 2), (21, 1)} <= want and not {(13, 1), (19, 2), (27, 1)} & want
     assert {(k, 1) for k in (22, 23, 24, 25, 26, 28)} <= want
     left = decontam.without_contaminated(docs, items)

@@ -55,8 +55,14 @@ def test_substring(stages):
             assert got[k] == before[k]
 
 
-def test_last_stages(spark, stages):
-    assert stages[4].join(stages[3], stages[4].columns, "left_anti").count() == 0
+def test_decontamination(spark, stages):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    rows = stages[3].collect()
+    bad = {d for d, _ in brute.contaminated([(r.doc_id, r.text) for r in rows], items)}
+    assert bad and sorted(stages[4].collect()) == sorted(r for r in rows if r.doc_id not in bad)
+
+
+def test_last_stage(stages):
     ids = {r.doc_id for r in stages[5].where(F.col("decoded_sha256").isNotNull()).collect()}
     assert ids == {r.doc_id for r in stages[4].collect()}
     text = {r.doc_id: r.text or "" for r in stages[4].collect()}

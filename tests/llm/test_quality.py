@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -66,3 +67,43 @@ def test_all_grades_are_learnt(spark):
     assert len(kept) > 64 and quality.train(docs.select("doc_id", "text"), docs.select("doc_id", "quality")).grades == sorted(kept)
     with pytest.raises(ValueError, match="grades"):
         quality.train(docs, docs.withColumn("quality", F.col("doc_id").cast("int")))
+
+
+def test_scores_against_the_formula(spark):
+    """expected grade and tail probability from every feature of a text, one by one."""
+    rng = np.random.default_rng(5)
+    model = quality.Model([0, 2, 5], np.array([-0.5, 0.75]), rng.normal(size=quality.DIM))
+    texts = ["", None, " \n ", "One two  two\nthree", "A" * 5000 + " b", "ünï CODE 42 x-y_z\tq\n\nq\n", "w " * 3000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    for r in quality.grade(df, model).collect():
+        text = texts[r.doc_id] or ""
+        words = text.split()
+        value = sum(model.weights[f] for f in quality.text_features(text, words))
+        for w in words:
+            value += sum(model.weights[f] for f in quality.word_features(w)) / len(words)
+        below = [1 / (1 + math.exp(-(t - value))) for t in model.thresholds]
+        mass = [below[0], below[1] - below[0], 1 - below[1]]
+        assert abs(r.expected_grade - sum(g * m for g, m in zip(model.grades, mass, strict=True))) < 1e-9
+        assert abs(r.tail_probability - (mass[1] + mass[2])) < 1e-9 and r.selected == (r.tail_probability >= 0.5)
+
+
+def test_fit_is_a_minimum():
+    """No small change of thresholds or weights makes the fitted sample likelier."""
+    rng = np.random.default_rng(8)
+    index = [rng.choice(40, 6, replace=False) for _ in range(80)]
+    shares, y = [np.ones(6) / 6 for _ in index], rng.integers(0, 3, 80)
+    thresholds, w = quality.fit_rows(index, shares, y, 3, rounds=3000, rate=0.02, ridge=1e-2)
+
+    def loss(thresholds, w):
+        edge = np.r_[-np.inf, thresholds, np.inf]
+        score = np.array([(w[i] * s).sum() for i, s in zip(index, shares, strict=True)])
+        sure = lambda x: 1 / (1 + np.exp(-np.clip(x, -700, 700)))
+        weight = (1 / np.bincount(y))[y] / 3
+        return -(weight * np.log(sure(edge[y + 1] - score) - sure(edge[y] - score))).sum() + 0.5e-2 * (w**2).sum()
+
+    best = loss(thresholds, w)
+    assert thresholds[0] < thresholds[1]
+    for _ in range(200):
+        step = np.zeros(quality.DIM)
+        step[:40] = rng.normal(size=40) * 0.05
+        assert loss(thresholds + rng.normal(size=2) * 0.02, w + step) >= best - 1e-6
