@@ -14,14 +14,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import scratch_table, shared_dir, text_or_empty
 
 #: Bytes of text in a block, except for a single text that is longer; blocks in a run; bytes in a bucket, about.
-BLOCK_BYTES, RUN, BUCKET_BYTES = 4 << 20, 32, 256 << 20
+BLOCK_BYTES, RUN, BUCKET_BYTES = 4 << 20, 8, 64 << 20
 #: Spark's own bound on buckets.
 MOST_BUCKETS = 100_000
 #: Bits of a row's number in its block, and of a block's number in its task.
@@ -76,7 +76,7 @@ def stage_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
                 end = min(max(start + 1, int(np.searchsorted(sizes, base + BLOCK_BYTES, "right"))), start + (1 << _IDX_BITS))
                 keys, texts = batch.column(0).slice(start, end - start), batch.column(1).slice(start, end - start)
                 offsets = pa.array([0, end - start], pa.int32())
-                bucket = (partition + done // RUN) % buckets
+                bucket = (partition + done // RUN * 7919) % buckets
                 if bucket not in numbers:
                     numbers[bucket] = _numbers(partition, bucket, buckets)
                 block = pa.array([next(numbers[bucket])], pa.int64())
@@ -96,24 +96,20 @@ def stage_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
     return out
 
 
-def uids(block: int, n: int) -> np.ndarray:
-    """Unique numbers of a block's rows."""
-    return (np.int64(block) << _IDX_BITS) + np.arange(n, dtype=np.int64)
+def rows_of(blocks: DataFrame) -> DataFrame:
+    """uid, key, text of each row; uid is a number of its own."""
+    rows = blocks.select("block", F.posexplode(F.arrays_zip(F.col("keys").alias("key"), F.col("texts").alias("text"))).alias("i", "row"))
+    return rows.select((F.shiftleft("block", _IDX_BITS) + F.col("i")).alias("uid"), "row.key", "row.text")
 
 
 def fetch(blocks: DataFrame, wanted: DataFrame, with_keys: bool = False) -> DataFrame:
     """uid, text (and key) of the rows whose `uid` is in `wanted` (distinct). Only those rows leave their block."""
     lists = wanted.groupBy(F.shiftright("uid", _IDX_BITS).alias("block")).agg(F.collect_list("uid").alias("uids"))
-    columns = ["texts", "keys"] if with_keys else ["texts"]
-    fields = [T.StructField("uid", T.LongType()), T.StructField("text", T.StringType())]
-    if with_keys:
-        fields.append(T.StructField("key", blocks.schema["keys"].dataType.elementType))
 
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                ids = batch.column(0)[i].values
-                at = pa.compute.bit_wise_and(ids, (1 << _IDX_BITS) - 1)
-                yield pa.RecordBatch.from_arrays([ids, *(c[i].values.take(at) for c in batch.columns[1:])], names=[f.name for f in fields])
+    def row(uid: Column) -> Column:
+        at = uid.bitwiseAND((1 << _IDX_BITS) - 1).cast("int")
+        fields = [uid.alias("uid"), F.get("texts", at).alias("text")]
+        return F.struct(*fields, F.get("keys", at).alias("key")) if with_keys else F.struct(*fields)
 
-    return blocks.join(lists, "block").select("uids", *columns).mapInArrow(take, T.StructType(fields))
+    found = blocks.join(lists, "block").select(F.explode(F.transform("uids", row)).alias("row"))
+    return found.select("row.*")

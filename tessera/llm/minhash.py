@@ -32,14 +32,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import fetch, stage_blocks, uids
+from .blocks import fetch, rows_of, stage_blocks
 from .common import discard, joined, mix64, shingle_set, stage, utf8, word_hashes, words_of
 from .graph import connected_components
 
 POSTED, COORDINATES = 32, 128
 #: Nodes up to which a posting gives all its pairs, nodes that those of a hot one are compared with, nodes in a piece of it
 #: where pairs are looked for, and in one where rows are looked up.
-FEW, HUBS, PIECE, SPLIT = 8, 4, 128, 512
+FEW, HUBS, PIECE, SPLIT = 8, 4, 512, 512
 #: Bits of a set's parity map: the parity of the number of its shingles at each place that their hashes give.
 BITS = 1024
 #: Chance that a pair at the threshold is lost by a count of collisions.
@@ -80,21 +80,21 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 def _signatures(blocks: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                keys, sets = batch.column(1)[i].values, _sets(utf8(batch.column(2)[i].values), width)
-                n, sizes = len(sets), [len(s) for s in sets]
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = _sets(utf8(part.column(2)), width)
                 full = [signature(s) if len(s) else None for s in sets]
                 tokens = [None if f is None else mix64(f[:POSTED] ^ _TAGS).view(np.int64) for f in full]
                 short = [None if f is None else mix64(f).astype("<u2").tobytes() for f in full]
                 h1, h2 = (pa.array([int(mix64(s ^ salt).sum().view(np.int64)) if len(s) else None for s in sets], pa.int64()) for salt in _SALTS)
-                columns = [pa.array(uids(batch.column(0)[i].as_py(), n)), keys, pa.array(sizes, pa.int64()), h1, h2]
+                columns = [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), h1, h2]
                 columns += [pa.array(tokens, pa.list_(pa.int64())), pa.array(short, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["uid", "key", "n_shingles", "h1", "h2", "tokens", "sig"])
 
     kind, long = blocks.schema["keys"].dataType.elementType, T.LongType()
     fields = [("uid", long), ("key", kind), ("n_shingles", long), ("h1", long), ("h2", long)]
     fields += [("tokens", T.ArrayType(long)), ("sig", T.BinaryType())]
-    return blocks.select("block", "keys", "texts").mapInArrow(run, T.StructType([T.StructField(n, t) for n, t in fields]))
+    return rows_of(blocks).mapInArrow(run, T.StructType([T.StructField(n, t) for n, t in fields]))
 
 
 def _matching(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:

@@ -32,6 +32,8 @@ SAMPLE = 20_000
 SUPPORT, CHANCE = 4, 0.05
 #: The least log odds of an entry: fifteen times as frequent in toxic texts.
 ODDS = 2.7
+#: Terms that a task counts before it hands them on, and the unit of uses beside texts in a count.
+TERMS, _TEXTS = 200_000, 1 << 24
 #: Lengths of beginnings of words that are tried as entries.
 STEMS = (4, 5, 6, 7)
 
@@ -152,24 +154,29 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic") -> Model:
     chosen = stage(rows.dropDuplicates(["text", "toxic"]), "labelled")  # a copy is no further evidence
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts: tuple[Counter, Counter] = (Counter(), Counter())
-        uses: tuple[Counter, Counter] = (Counter(), Counter())
+        def flushed(counts: tuple[Counter, Counter]) -> Iterator[pa.RecordBatch]:
+            for toxic, found in enumerate(counts):
+                terms, whole, packed = zip(*((t, w, n) for (t, w), n in found.items()), strict=True) if found else ((), (), ())
+                values = np.array(packed, np.int64)
+                columns = [pa.array(terms, pa.string()), pa.array(whole, pa.bool_())]
+                columns += [pa.array(part * (label == toxic)) for part in (values & (_TEXTS - 1), values // _TEXTS) for label in (0, 1)]
+                yield pa.RecordBatch.from_arrays(columns, names=["term", "whole", "clean", "toxic", "clean_uses", "toxic_uses"])
+                found.clear()
+
+        # A term's texts in the lower bits, its uses above them. What is counted goes on before it takes much memory.
+        counts: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
             for t, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 low = lowered(t)
+                mine = counts[toxic]
                 words = set(_words(low, low.translate(FOLD)))
                 found = Counter((w[:k], False) for w in words for k in STEMS if len(w) >= k)
                 found.update((w, True) for w in words)
-                uses[toxic].update(found)
-                texts[toxic].update(found.keys())
-        for toxic in (0, 1):
-            items = list(texts[toxic].items())
-            for i in range(0, len(items), 50_000):
-                part = items[i : i + 50_000]
-                columns = [pa.array([t for (t, _), _ in part], pa.string()), pa.array([w for (_, w), _ in part], pa.bool_())]
-                columns += [pa.array([n * (label == toxic) for _, n in part], pa.int64()) for label in (0, 1)]
-                columns += [pa.array([uses[toxic][k] * (label == toxic) for k, _ in part], pa.int64()) for label in (0, 1)]
-                yield pa.RecordBatch.from_arrays(columns, names=["term", "whole", "clean", "toxic", "clean_uses", "toxic_uses"])
+                for term, uses in found.items():
+                    mine[term] += uses * _TEXTS + 1
+                if len(mine) > TERMS:
+                    yield from flushed(counts)
+        yield from flushed(counts)
 
     nothing = lambda: Model({}, frozenset(), 1.0, -5.0)
     totals = {r.toxic: r.n for r in chosen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
