@@ -226,6 +226,33 @@ def test_boxes(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_boxes_of_a_dense_cell(spark, monkeypatch):
+    """Rows that occur twice, borders that touch, boxes that end before they begin, and nulls, over several chunks and blocks."""
+    import random
+
+    monkeypatch.setattr(spatial, "CHUNK", 7)
+    monkeypatch.setattr(spatial, "BLOCK", 11)
+    rng = random.Random(2)
+    at = lambda: rng.randrange(-8, 9) / 4
+    rows = [(i, x, y, x + rng.randrange(-1, 4) / 4, y + rng.randrange(-1, 4) / 4) for i in range(90) for x, y in [(at(), at())]]
+    rows += rows[:9] + [(5, 0.0, 0.0, 1.0, 1.0), (None, 0.0, 0.0, 1.0, 1.0), (200, None, 0.0, 1.0, 1.0), (201, 0.0, 0.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "id int, lo_x double, lo_y double, hi_x double, hi_y double")
+    df.createOrReplaceTempView("boxes")
+    touch = "a.lo_x <= b.hi_x and b.lo_x <= a.hi_x and a.lo_y <= b.hi_y and b.lo_y <= a.hi_y"
+    for cell in (0.5, 3.0):
+        for found, where in ((spatial.overlapping(df, df, cell), touch), (spatial.overlapping_pairs(df, cell), f"a.id < b.id and {touch}")):
+            want = spark.sql(f"select a.id as a_id, b.id as b_id from boxes a join boxes b on {where}")
+            assert sorted(map(repr, found.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_boxes_of_one_cell_are_dealt(spark, monkeypatch):
+    """One file of boxes of one cell: its pairs come from many tasks, and each task holds what one block reaches."""
+    monkeypatch.setattr(spatial, "BLOCK", 50, raising=False)
+    df = spark.range(0, 1000, 1, 1).selectExpr("id", "0d as lo_x", "id / 1000 as lo_y", "1d as hi_x", "(id + 9.5) / 1000 as hi_y")
+    parts = spatial.overlapping_pairs(df, 2.0).groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) > 8 and sum(r[1] for r in parts) == sum(min(9, 999 - i) for i in range(1000)) and max(r[1] for r in parts) < 2500
+
+
 def test_streams(spark, tmp_path):
     source, seen = str(tmp_path / "in"), []
     for n in range(3):
