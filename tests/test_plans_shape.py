@@ -55,3 +55,12 @@ def test_large_sides_keep_their_hint(spark):
         assert "ShuffledHashJoin" in plan(spark, "natural_join_hash") and "SortMergeJoin" in plan(spark, "natural_join_merge")
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_pairs_of_repeated_keys_are_dealt(spark):
+    """A customer file of one block gives its pairs from many tasks."""
+    from pyspark.sql import functions as F
+
+    for name in ("natural_join_hash", "natural_join_overlap"):
+        parts = plans.queries()[name](spark, SF).groupBy(F.spark_partition_id()).count().collect()
+        assert len(parts) > 8, name
